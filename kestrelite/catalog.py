@@ -1,0 +1,11 @@
+"""All registered queries of the engine and the SQL that checks them."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
