@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, quality_rules, secret_scan
+from . import near_dedup, pii, quality_rules, secret_scan
 from .common import read
 
 
@@ -16,6 +16,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), words=4)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -26,7 +30,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op7_quality": op7_quality, "op8_secrets": op8_secrets}
+    return {"op1_pii": op1_pii, "op5_near_dedup": op5_near_dedup, "op7_quality": op7_quality, "op8_secrets": op8_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
