@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, pii, quality_rules, secret_scan
+from . import near_dedup, pii, quality_classifier, quality_rules, secret_scan
 from .common import read
 
 
@@ -29,8 +29,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op5_near_dedup": op5_near_dedup, "op7_quality": op7_quality, "op8_secrets": op8_secrets}
+    return {"op1_pii": op1_pii, "op5_near_dedup": op5_near_dedup, "op7_quality": op7_quality, "op8_secrets": op8_secrets, "op9_quality_classifier": op9_quality_classifier}
 
 
 def oracle_sql() -> dict[str, str]:
