@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, pii, quality_classifier, quality_rules, secret_scan
+from . import decontamination, near_dedup, pii, quality_classifier, quality_rules, secret_scan
 from .common import read
 
 
@@ -20,6 +20,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), words=4)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -34,7 +38,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op5_near_dedup": op5_near_dedup, "op7_quality": op7_quality, "op8_secrets": op8_secrets, "op9_quality_classifier": op9_quality_classifier}
+    return {"op1_pii": op1_pii, "op5_near_dedup": op5_near_dedup, "op6_decontamination": op6_decontamination, "op7_quality": op7_quality, "op8_secrets": op8_secrets, "op9_quality_classifier": op9_quality_classifier}
 
 
 def oracle_sql() -> dict[str, str]:
