@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, near_dedup, pii, quality_classifier, quality_rules, secret_scan, sharding
+from . import decontamination, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, secret_scan, sharding
 from .common import read
 
 
@@ -24,6 +24,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents")).select("doc_id", "n_chars", "shard", "version")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(read(spark, sf_dir, "documents"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), words=4)
 
@@ -46,7 +50,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op3_mixing": op3_mixing, "op10_sharding": op10_sharding, "op5_near_dedup": op5_near_dedup, "op6_decontamination": op6_decontamination, "op7_quality": op7_quality, "op8_secrets": op8_secrets, "op9_quality_classifier": op9_quality_classifier}
+    return {"op1_pii": op1_pii, "op3_mixing": op3_mixing, "op10_sharding": op10_sharding, "op4_line_dedup": op4_line_dedup, "op5_near_dedup": op5_near_dedup, "op6_decontamination": op6_decontamination, "op7_quality": op7_quality, "op8_secrets": op8_secrets, "op9_quality_classifier": op9_quality_classifier}
 
 
 def oracle_sql() -> dict[str, str]:
