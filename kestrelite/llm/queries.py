@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, secret_scan, sharding
+from . import decontamination, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, secret_scan, sharding, url_filter
 from .common import read
 
 
@@ -16,6 +16,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.weigh(read(spark, sf_dir, "documents"), columns=["doc_id", "source", "lang"])
 
@@ -50,7 +54,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op3_mixing": op3_mixing, "op10_sharding": op10_sharding, "op4_line_dedup": op4_line_dedup, "op5_near_dedup": op5_near_dedup, "op6_decontamination": op6_decontamination, "op7_quality": op7_quality, "op8_secrets": op8_secrets, "op9_quality_classifier": op9_quality_classifier}
+    return {"op1_pii": op1_pii, "op2_url_filter": op2_url_filter, "op3_mixing": op3_mixing, "op10_sharding": op10_sharding, "op4_line_dedup": op4_line_dedup, "op5_near_dedup": op5_near_dedup, "op6_decontamination": op6_decontamination, "op7_quality": op7_quality, "op8_secrets": op8_secrets, "op9_quality_classifier": op9_quality_classifier}
 
 
 def oracle_sql() -> dict[str, str]:
