@@ -3,7 +3,7 @@
 A rule names a host (and all its subdomains) and the start of a path; the longest that fits decides. Other urls are judged by
 the method: host labels and path pieces are split into words by unigram Viterbi, whose word counts come from all pages'
 texts, and a multinomial naive Bayes over these words gives the verdict. It learns from hosts that hold a seed word, as
-blocked, and from the other urls that a rule allows, over all pages; what a rule blocks says nothing about other hosts.
+blocked, and from all other urls that no rule blocks, as allowed; what a rule blocks says nothing about other hosts.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, no rule, and is allowed; repeated rows are
 judged alike; with nothing to learn from, everything unruled is allowed; only the named columns are read; an empty table
@@ -150,7 +150,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, key: str
                     words = tokens(host, path, splitter)
                     bad = any(w[2:] in SEEDS for w in words if w[0] == "h")
                     rule = own.match(host, path)
-                    verdict = "block" if bad else "allow" if rule and rule[1] == "allow" else None
+                    verdict = "block" if bad else None if rule and rule[1] == "block" else "allow"
                     if verdict:
                         seen.update((w, verdict) for w in words)
                         seen["", verdict] += 1
