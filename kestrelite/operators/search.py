@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,7 +138,6 @@ def lsh_nearest(nodes: DataFrame, query: list[float], k: int, key: str = "vec_id
 
 def ivf_nearest(nodes: DataFrame, query: list[float], k: int, lists: int = 16, probes: int = 4, key: str = "vec_id", vec: str = "embedding", seed: int = 7, sample: int = 100_000) -> DataFrame:
     """Inverted lists by k-means (fitted on at most ``sample`` rows, every row indexed); the nearest ``probes`` are ranked exactly."""
-    import numpy as np
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -156,21 +157,23 @@ def recommend_index(rows: int, dim: int, filtered: bool = False) -> str:
 
 def hash_embedding(texts: DataFrame, dim: int = 64, text: str = "text", prefix: str = "passage: ") -> DataFrame:
     """A deterministic pseudo-embedding of each text (column ``embedding``), in vectorised Python."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def embed(col: pd.Series) -> pd.Series:
         i = np.arange(dim)
-        out = []
-        for t in col.fillna(""):
-            v = np.zeros(dim)
-            for w in (prefix + t).lower().split():
+        known: dict[str, int] = {}
+
+        def number(w: str) -> int:
+            if w not in known:
                 h = 0
                 for b in w.encode():
                     h = (31 * h + b) & 0xFFFFFFFF
-                n = h % 30000 + 1000
-                v += np.sin(n / 1000) * np.cos(i / 100) * ((17 * n + 31 * i) % 1000) / 1000
+                known[w] = h % 30000 + 1000
+            return known[w]
+
+        out = []
+        for t in col.fillna(""):
+            n, times = np.unique([number(w) for w in (prefix + t).lower().split()], return_counts=True)
+            v = (times * np.sin(n / 1000)) @ ((17 * n[:, None] + 31 * i) % 1000 / 1000) * np.cos(i / 100)
             m = np.linalg.norm(v)
             out.append((v / m if m > 0 else v).astype(np.float32))
         return pd.Series(out)

@@ -235,10 +235,9 @@ class Engine:
 
     def run(self, query: str, vector: list[float] | None = None, dim: int | None = None) -> DataFrame:
         s = Parser(query).parse()
-        df = self.build(s, vector, dim)
         if s.explain:
             return self.spark.createDataFrame(list(enumerate(steps(s), 1)), "step int, operation string")
-        return df
+        return self.build(s, vector, dim)
 
     def command(self, text: str) -> DataFrame:
         """toroidal_search("label", [v], t, d) | get_neighbors(id) | graph_search(id, depth) | add_edge(a, b, "R", w)."""

@@ -15,7 +15,9 @@ def _windowed(events: DataFrame, w: Column, keys: list[str], value: str) -> Data
 
 
 def late(events: DataFrame, ts: str = "ts", lateness: str = "60 seconds") -> DataFrame:
-    return events.withWatermark(ts, lateness) if events.isStreaming else events
+    if not events.isStreaming:
+        return events
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)  # a watermark takes no zoneless time
 
 
 def tumbling(events: DataFrame, size: str, keys: list[str] = (), value: str = "value", ts: str = "ts") -> DataFrame:
@@ -32,7 +34,7 @@ def session(events: DataFrame, gap: str, keys: list[str], value: str = "value",
 
 def look_back(events: DataFrame, now: str, length: str, ts: str = "ts") -> DataFrame:
     """Records in [now - length, now]; ``now`` is explicit, so results repeat."""
-    end = F.lit(now).cast("timestamp")
+    end = F.lit(now).cast(events.schema[ts].dataType)
     return events.where((F.col(ts) >= end - F.expr(f"interval {length}")) & (F.col(ts) <= end))
 
 
