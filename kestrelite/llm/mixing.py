@@ -48,7 +48,7 @@ def default_targets(shares: dict) -> dict:
     return {v: s / total for v, s in pulled.items()}
 
 
-def rake(cells: list[tuple[tuple, float]], targets: list[dict], rounds: int = ROUNDS) -> np.ndarray:
+def rake(cells: list[tuple[tuple, float]], targets: list[dict], rounds: int | None = None) -> np.ndarray:
     """The cells' raked tokens; ``cells`` holds ((value per axis), tokens), ``targets`` shares by value per axis."""
     w = np.array([n for _, n in cells], float)
     total = w.sum()
@@ -58,7 +58,7 @@ def rake(cells: list[tuple[tuple, float]], targets: list[dict], rounds: int = RO
         codes.append(np.array([values[c[a]] for c, _ in cells], np.int64))
         share = np.array([target.get(v, 0.0) for v in values])
         wanted.append(share / max(share.sum(), 1e-300))
-    for _ in range(rounds if total > 0 else 0):
+    for _ in range((ROUNDS if rounds is None else rounds) if total > 0 else 0):
         for code, share in zip(codes, wanted):
             have = np.bincount(code, w, len(share))
             w *= np.where(have > 0, share * total / np.maximum(have, 1e-300), 0.0)[code]
