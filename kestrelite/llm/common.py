@@ -68,6 +68,14 @@ def _clean() -> None:
             return
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df.checkpoint()`` in the shared folder; for small tables that a loop passes on."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back, so lost executors cost nothing."""
     spark = df.sparkSession

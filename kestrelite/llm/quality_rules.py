@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, arrow_batches, join_small, let, written  # noqa: F401
+from .common import SPACE, checkpointed, join_small, let, written
 
 #: Transformed statistics, in the order of the estimates. FLOOR: the least standard deviation of each, as most are 0 in clean text.
 STATS = ("word_len", "symbols", "repeats", "capitals", "variety")
@@ -134,18 +134,18 @@ def _moments(rows: DataFrame) -> DataFrame:
 def estimates(vectors: DataFrame, cells: int) -> DataFrame:
     """MCD estimate (struct ``est``) of each ``cell`` of a table (cell, x0..). Aggregates only, so no cell is gathered."""
     scale = H / (1 - _chi2_tail(chi2_cutoff(1 - H, P), P + 2))  # consistency at the normal distribution
-    med = vectors.groupBy("cell").agg(*[F.percentile_approx(f"x{i}", 0.5, 2000).alias(f"m{i}") for i in range(P)]).checkpoint()
+    med = checkpointed(vectors.groupBy("cell").agg(*[F.percentile_approx(f"x{i}", 0.5, 2000).alias(f"m{i}") for i in range(P)]))
     dev = join_small(vectors, med, ["cell"], rows=cells)
     mad = dev.groupBy("cell").agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 2000).alias(f"a{i}") for i in range(P)])
     mad = join_small(mad, med, ["cell"], rows=cells)
     own = lambda i, j: (1.4826 * F.col(f"a{i}")) ** 2 / scale if i == j else F.lit(0.0)
     mad = mad.withColumns({f"s{i}_{j}": own(i, j) + F.col(f"m{i}") * F.col(f"m{j}") for i in range(P) for j in range(i + 1)})
-    est = _factor(mad, scale).checkpoint()
+    est = checkpointed(_factor(mad, scale))
     for _ in range(STEPS):
         at = with_distance(join_small(vectors, est, ["cell"], rows=cells)).drop("est")
-        cut = at.groupBy("cell").agg(F.percentile_approx("d2", H, 10_000).alias("cut")).checkpoint()
+        cut = checkpointed(at.groupBy("cell").agg(F.percentile_approx("d2", H, 10_000).alias("cut")))
         near = join_small(at, cut, ["cell"], rows=cells).where("d2 <= cut")
-        est = _factor(_moments(near), scale).checkpoint()
+        est = checkpointed(_factor(_moments(near), scale))
     return est
 
 
@@ -160,13 +160,13 @@ def judge(docs: DataFrame, columns: list[str] | None = None, text: str = "text",
     docs = docs.select("row", "m", base.alias("base_failed"), *[c.alias(f"k{k}") for k, c in enumerate(levels)], *[x.alias(f"x{i}") for i, x in enumerate(_vector(F.col("m")))])
     xs = [f"x{i}" for i in range(P)]
     # A cell too small to estimate is judged by its language's estimate, then by the whole table's.
-    sizes = docs.where("not base_failed").groupBy("k0", "k1", "k2").agg(F.count(F.lit(1)).alias("n0")).checkpoint()
+    sizes = checkpointed(docs.where("not base_failed").groupBy("k0", "k1", "k2").agg(F.count(F.lit(1)).alias("n0")))
     cells = sizes.count()
     for k in (1, 2):
         sizes = join_small(sizes, sizes.groupBy(f"k{k}").agg(F.sum("n0").alias(f"n{k}")), [f"k{k}"], rows=cells)
     use = F.when(F.col("n0") >= MIN_CELL, F.col("k0")).when(F.col("n1") >= MIN_CELL, F.col("k1")).when(F.col("n2") >= MIN_CELL, F.col("k2"))
-    use = sizes.select("k0", use.alias("cell")).checkpoint()
-    needed = use.where("cell is not null").select("cell").distinct().checkpoint()
+    use = checkpointed(sizes.select("k0", use.alias("cell")))
+    needed = checkpointed(use.where("cell is not null").select("cell").distinct())
     vectors = docs.where("not base_failed").select(F.explode(F.array("k0", "k1", "k2")).alias("cell"), *xs)
     vectors = written(join_small(vectors, needed.withColumn("__used", F.lit(True)), ["cell"], "inner", rows=cells).drop("__used"), "quality-fit")
     judged = join_small(docs, use, ["k0"], rows=cells)
