@@ -14,7 +14,7 @@ from kestrelite.sources import files
 from . import query, table
 
 
-def _folder(s) -> str:
+def folder(s) -> str:
     cut(s.range(1))  # sets the session's checkpoint folder where it has none
     return f"{s.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
 
@@ -36,7 +36,7 @@ def s4(s, d):
 
 @query("s5_snapshot", "select count(*) as n, round(sum(s_acctbal), 2) as total from supplier")
 def s5(s, d):
-    root = _folder(s)
+    root = folder(s)
     rows = table(s, d, "supplier")
     files.snapshot(rows, root, 1)
     files.snapshot(rows.where("s_suppkey < 10"), root, 2)
@@ -71,14 +71,14 @@ def s8(s, d):
 
 @query("s10_s19_csv_round_trip", "select s_suppkey::varchar as s_suppkey, s_name, s_acctbal::varchar as s_acctbal from supplier")
 def s10(s, d):
-    path = _folder(s)
+    path = folder(s)
     files.export(table(s, d, "supplier").select("s_suppkey", "s_name", "s_acctbal"), path, "csv")
     return files.ingest(s, path, "text/csv")
 
 
 @query("s11_s20_json_round_trip", "select n_nationkey::bigint as n_nationkey, n_name, n_regionkey::bigint as n_regionkey from nation")
 def s11(s, d):
-    path = _folder(s)
+    path = folder(s)
     files.export(table(s, d, "nation"), path, "json")
     return s.read.schema("n_nationkey long, n_name string, n_regionkey long").json(path)
 
@@ -106,7 +106,7 @@ def s18(s, d):
 
 @query("s21_s26_parquet_backup", "select p_partkey, p_name from part")
 def s21(s, d):
-    path = _folder(s)
+    path = folder(s)
     files.backup(table(s, d, "part").select("p_partkey", "p_name"), path)
     return files.restore(s, path)
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from kestrelite.functions import vector as V
 from kestrelite.streaming import streams as S
 
 from . import query, table
+from .storage import folder
 from .vectors import NORM, E
 
 _OUT = 'round(sum(value), 3) as total'
@@ -71,8 +69,7 @@ def r17(s, d):
 
 def _streamed(s, d):
     """The events file as a stream: the schema comes from the batch reader."""
-    folder = tempfile.mkdtemp(prefix="kestrelite-stream-") if s.sparkContext.master.startswith("local") and not s.conf.get("spark.checkpoint.dir", None) else f"{s.conf.get('spark.checkpoint.dir')}/stream"
-    root = f"{folder}/{uuid.uuid4().hex}"
+    root = folder(s)
     return s.readStream.schema(table(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d), root
 
 
