@@ -244,3 +244,19 @@ def j3_order_graph(s, d):
     c = table(s, d, "customer").join(table(s, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(table(s, d, "region").where("r_name = 'ASIA'"), F.col("r_regionkey") == F.col("n_regionkey"))
     o = c.join(table(s, d, "orders"), F.col("o_custkey") == F.col("c_custkey")).join(table(s, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
     return o.groupBy(F.col("c_custkey").alias("a_id"), F.col("l_suppkey").alias("b_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("j8_magic_set", f"with recursive {NN}, {NEDGE}, {reach('ne', 'select 7::bigint, 0', 4)} select id, min(depth) as depth from r group by id")
+def j8(s, d):
+    return G.bfs(nations(s, d)[1], s.createDataFrame([(7,)], "id long"), 4)
+
+
+@query("j6_j19_variable_length", f"with recursive {NEDGE}, e as (select * from ne where relation_type = 'NEXT'), {reach('e', 'select 4::bigint, 0', 3)} select id from r group by id having min(depth) between 1 and 3")
+def j19(s, d):
+    n, e = nations(s, d)
+    return G.bfs(e, n.where("id = 4"), 3, 1, "NEXT").select("id")
+
+
+@query("g18_similar_and_paths", f"with recursive {NEDGE}, b(id, cost) as (select 3::bigint, 0.0::double union select dst, cost + weight from b join ne on src = b.id where cost < 80) select id, min(cost) as cost from b group by id having min(cost) <= 12")
+def g18(s, d):
+    return G.shortest_paths(nations(s, d)[1], 3).where("cost <= 12").select("id", "cost")

@@ -7,10 +7,12 @@ import functools
 from pyspark.sql import functions as F
 
 from kestrelite.operators import relational as R
+from kestrelite.operators import search
 from kestrelite.plans.language import Engine
+from kestrelite.plans.schema import Registry
 
 from . import query, table
-from .vectors import T32, TW, Q
+from .vectors import COS, T32, TW, Q
 
 
 @query("p1_projection", "select c_custkey, c_name from customer")
@@ -195,3 +197,57 @@ def c13(s, d):
 def tpch_q1(s, d):
     r = table(s, d, "lineitem").where("l_shipdate <= timestamp_ntz '2000-09-02'").groupBy("l_returnflag", "l_linestatus")
     return r.agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count(F.lit(1)).alias("n"))
+
+
+@query("p10_p11_similar_to", f"select vec_id as id, round({COS}, 6) as score from embeddings where {COS} >= 0.05 order by {COS}, vec_id limit 500")
+def p10(s, d):
+    e = Engine(s)
+    e.register("Doc", table(s, d, "embeddings"), "vec_id", "embedding")
+    r = e.run("MATCH (n:Doc) WHERE cosine_similarity(n.embedding, $q) > 0.05 RETURN n.id, score LIMIT 500", Q)
+    return r.select("id", F.round("score", 6).alias("score"))
+
+
+@query("c11_c12_hints", "select c_custkey as id, c_name from customer where c_acctbal > 9000 order by c_custkey limit 10")
+def c11(s, d):
+    e = Engine(s)
+    e.register("Customer", table(s, d, "customer"), "c_custkey")
+    return e.run("DISTRIBUTED MATCH (n:Customer) WHERE n.c_acctbal > 9000 RETURN n.id, n.c_name ORDER BY c_custkey LIMIT 10 USING AVX2")
+
+
+@query("c4_c5_schema_registry")
+def c4(s, d):
+    r = Registry()
+    r.create_space("sales")
+    r.use("sales")
+    r.execute("CREATE NODE TYPE Customer (c_custkey INT PRIMARY KEY, c_name TEXT NOT NULL, c_acctbal FLOAT)")
+    r.execute("CREATE NODE TYPE Orders (o_orderkey INT PRIMARY KEY, placed TIMESTAMP)")
+    r.execute("CREATE EDGE TYPE Placed (from Customer, to Orders, weight FLOAT)")
+    rows = [(k, n) for k, names in r.execute("SHOW SCHEMA").items() for n in names]
+    return s.createDataFrame(rows, "kind string, name string")
+
+
+@query("c6_views", "select c_nationkey, count(*) as n, round(sum(c_acctbal), 2) as total from customer group by 1")
+def c6(s, d):
+    table(s, d, "customer").createOrReplaceTempView("c6_customer")
+    return s.sql("select c_nationkey, count(*) as n, round(sum(c_acctbal), 2) as total from c6_customer group by 1")
+
+
+@query("p13_p14_expressions", "select p_partkey, abs(p_retailprice - p_size * 100) < 1e-6 as same, p_retailprice > 950 and p_size <> 10 as both from part")
+def p13(s, d):
+    return table(s, d, "part").select("p_partkey", R.same_number(F.col("p_retailprice"), F.col("p_size") * 100).alias("same"), (R.compare("p_retailprice", ">", 950) & R.compare("p_size", "<>", 10)).alias("both"))
+
+
+@query("t5_t6_stream_order", "select event_id, value from events order by value desc, event_id limit 30")
+def t5(s, d):
+    return R.order_by(table(s, d, "events"), "value", True, "event_id", 30).select("event_id", "value")
+
+
+@query("t9_similar_then_limit", f"select vec_id from embeddings order by {T32}, vec_id limit 7")
+def t9(s, d):
+    return search.top(search.prefix_search(table(s, d, "embeddings"), Q, 32, 99.0), "vec_id", 7).select("vec_id")
+
+
+@query("r18_r19_pipeline", "select event_type, count(*) as n, round(sum(value * 2), 3) as total from events where value > 1 group by 1")
+def r18(s, d):
+    steps = [lambda x: x.where(R.etl_filter("value", "gt", 1)), lambda x: x.withColumn("value", F.col("value") * 2), lambda x: x.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))]
+    return R.pipeline(table(s, d, "events"), steps)
