@@ -31,8 +31,14 @@ COS = f"({DOT} / ({NORM} * {QNORM}))"
 EUC = f"sqrt({zipped(E, QS, 'pow(z[1] - z[2], 2)')})"
 MAN = zipped(E, QS, "abs(z[1] - z[2])")
 T32 = torus(f"({E})[1:32]", f"({QS})[1:32]")
-q = V.vector(Q)
-emb = F.col("embedding")
+
+
+def q():
+    return V.vector(Q)
+
+
+def emb():
+    return F.col("embedding")
 
 
 def vecs(s, d):
@@ -42,7 +48,7 @@ def vecs(s, d):
 @query("k_distances", f"select vec_id, round({torus(E, QS)}, 6) as torus, round({COS}, 6) as cosine, round({EUC}, 6) as euclidean, round(pow({EUC}, 2), 6) as squared, round({MAN}, 6) as manhattan, round({DOT}, 6) as dot, round({NORM}, 6) as magnitude, round(1 / (1 + {torus(E, QS)}), 6) as torus_cosine from embeddings")
 def k_distances(s, d):
     r = lambda c, n: F.round(c, 6).alias(n)
-    return vecs(s, d).select("vec_id", r(V.torus_distance(emb, q), "torus"), r(V.cosine(emb, q), "cosine"), r(V.euclidean(emb, q), "euclidean"), r(V.squared_euclidean(emb, q), "squared"), r(V.manhattan(emb, q), "manhattan"), r(V.dot(emb, q), "dot"), r(V.magnitude(emb), "magnitude"), r(V.torus_cosine(emb, q), "torus_cosine"))
+    return vecs(s, d).select("vec_id", r(V.torus_distance(emb(), q()), "torus"), r(V.cosine(emb(), q()), "cosine"), r(V.euclidean(emb(), q()), "euclidean"), r(V.squared_euclidean(emb(), q()), "squared"), r(V.manhattan(emb(), q()), "manhattan"), r(V.dot(emb(), q()), "dot"), r(V.magnitude(emb()), "magnitude"), r(V.torus_cosine(emb(), q()), "torus_cosine"))
 
 
 STRICT = f"sqrt(list_sum([pow(least(m, 1 - m), 2) for m in [(z[1] - z[2]) - floor(z[1] - z[2]) for z in list_zip({E}, {QS})]]))"
@@ -50,7 +56,7 @@ STRICT = f"sqrt(list_sum([pow(least(m, 1 - m), 2) for m in [(z[1] - z[2]) - floo
 
 @query("k1b_torus_strict", f"select vec_id, round({STRICT}, 6) as d from embeddings")
 def k1b_torus_strict(s, d):
-    return vecs(s, d).select("vec_id", F.round(V.torus_distance_strict(emb, q), 6).alias("d"))
+    return vecs(s, d).select("vec_id", F.round(V.torus_distance_strict(emb(), q()), 6).alias("d"))
 
 
 def total(f: str) -> str:
@@ -60,23 +66,23 @@ def total(f: str) -> str:
 @query("k6_arithmetic", f"select vec_id, {total(f'[z[1] + z[2] for z in list_zip({E}, {QS})]')} as a, {total(f'[z[1] - z[2] for z in list_zip({E}, {QS})]')} as s, {total(f'[z[1] * z[2] for z in list_zip({E}, {QS})]')} as m, {total(f'[z[1] / (z[2] + 5) for z in list_zip({E}, {QS})]')} as d from embeddings")
 def k6_arithmetic(s, d):
     t = lambda v, n: F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 5).alias(n)
-    return vecs(s, d).select("vec_id", t(V.add(emb, q), "a"), t(V.subtract(emb, q), "s"), t(V.multiply(emb, q), "m"), t(V.divide(emb, V.vector([x + 5 for x in Q])), "d"))
+    return vecs(s, d).select("vec_id", t(V.add(emb(), q()), "a"), t(V.subtract(emb(), q()), "s"), t(V.multiply(emb(), q()), "m"), t(V.divide(emb(), V.vector([x + 5 for x in Q])), "d"))
 
 
 @query("k7_unary", f"select vec_id, {total(f'[x * 2.5 for x in {E}]')} as scaled, {total(f'[-x for x in {E}]')} as negated, {total(f'[abs(x) for x in {E}]')} as absolute, {total(f'[greatest(-0.1, least(0.1, x)) for x in {E}]')} as clamped from embeddings")
 def k7_unary(s, d):
     t = lambda v, n: F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 5).alias(n)
-    return vecs(s, d).select("vec_id", t(V.scale(emb, 2.5), "scaled"), t(V.negate(emb), "negated"), t(V.absolute(emb), "absolute"), t(V.clamp(emb, -0.1, 0.1), "clamped"))
+    return vecs(s, d).select("vec_id", t(V.scale(emb(), 2.5), "scaled"), t(V.negate(emb()), "negated"), t(V.absolute(emb()), "absolute"), t(V.clamp(emb(), -0.1, 0.1), "clamped"))
 
 
 @query("k8_normalize", f"select vec_id, [round(x / {NORM}, 6) for x in ({E})[1:4]] as head from embeddings")
 def k8_normalize(s, d):
-    return vecs(s, d).select("vec_id", F.transform(F.slice(V.normalize(emb), 1, 4), lambda x: F.round(x, 6)).alias("head"))
+    return vecs(s, d).select("vec_id", F.transform(F.slice(V.normalize(emb()), 1, 4), lambda x: F.round(x, 6)).alias("head"))
 
 
 @query("k9_pad", f"select vec_id, len(list_concat({E}, [0.0 for i in range(96)])[1:96]) as n, round(list_sum(({E})[1:16]), 5) as head from embeddings")
 def k9_pad(s, d):
-    return vecs(s, d).select("vec_id", F.size(V.pad_or_truncate(emb, 96)).cast("long").alias("n"), F.round(F.aggregate(V.pad_or_truncate(emb, 16), F.lit(0.0), lambda a, x: a + x), 5).alias("head"))
+    return vecs(s, d).select("vec_id", F.size(V.pad_or_truncate(emb(), 96)).cast("long").alias("n"), F.round(F.aggregate(V.pad_or_truncate(emb(), 16), F.lit(0.0), lambda a, x: a + x), 5).alias("head"))
 
 
 @query("k10_level", "select vec_id, (select min_by(l, struct_pack(o := abs(l - (vec_id * 7) % 2000), l := l)) from (values (384), (768), (1024), (1536)) t(l)) as level from embeddings")
@@ -162,24 +168,24 @@ QUANT = f"[cast(floor((x - {LO}) / ({HI} - {LO}) * 255) as integer) for x in {E}
 
 @query("v15_scalar_quantization", f"select vec_id, list_sum({QUANT}) as total, round({LO}, 6) as lo, round({HI}, 6) as hi, round(list_sum([{LO} + x / 255.0 * ({HI} - {LO}) for x in {QUANT}]), 4) as restored from embeddings")
 def v15_scalar(s, d):
-    rows = vecs(s, d).withColumn("qz", V.quantize_scalar(emb))
+    rows = vecs(s, d).withColumn("qz", V.quantize_scalar(emb()))
     z = F.col("qz")
     return rows.select("vec_id", F.aggregate(z["data"], F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.round(z["min"], 6).alias("lo"), F.round(z["max"], 6).alias("hi"), F.round(F.aggregate(V.dequantize_scalar(z), F.lit(0.0), lambda a, x: a + x), 4).alias("restored"))
 
 
 @query("v16_binary_quantization", f"select vec_id, list_sum([case when (z[1] > 0) <> (z[2] > 0) then 1 else 0 end for z in list_zip({E}, {QS})]) as hamming from embeddings")
 def v16_binary(s, d):
-    return vecs(s, d).select("vec_id", V.hamming(V.quantize_binary(emb), V.quantize_binary(q)).cast("long").alias("hamming"))
+    return vecs(s, d).select("vec_id", V.hamming(V.quantize_binary(emb()), V.quantize_binary(q())).cast("long").alias("hamming"))
 
 
 @query("v17_product_quantization", f"select vec_id, [round(list_min(({E})[k * 16 + 1:k * 16 + 16]), 6) for k in range(4)] as lows from embeddings")
 def v17_product(s, d):
-    return vecs(s, d).select("vec_id", F.transform(V.quantize_product(emb, 4, 64), lambda p: F.round(p["min"], 6)).alias("lows"))
+    return vecs(s, d).select("vec_id", F.transform(V.quantize_product(emb(), 4, 64), lambda p: F.round(p["min"], 6)).alias("lows"))
 
 
 @query("v18_asymmetric_distance", f"with z as (select vec_id, [{LO} + x / 255.0 * ({HI} - {LO}) for x in {QUANT}] as r from embeddings) select vec_id, round(1 - {zipped('r', QS, 'z[1] * z[2]')} / (sqrt(list_sum([x * x for x in r])) * {QNORM}), 5) as distance from z")
 def v18_asymmetric(s, d):
-    return vecs(s, d).select("vec_id", F.round(1 - V.cosine(V.dequantize_scalar(V.quantize_scalar(emb)), q), 5).alias("distance"))
+    return vecs(s, d).select("vec_id", F.round(1 - V.cosine(V.dequantize_scalar(V.quantize_scalar(emb())), q()), 5).alias("distance"))
 
 
 @query("v19_pca_projection")
@@ -187,13 +193,13 @@ def v19_pca(s, d):
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = vecs(s, d).select("vec_id", array_to_vector(emb.cast("array<double>")).alias("v"))
+    rows = vecs(s, d).select("vec_id", array_to_vector(emb().cast("array<double>")).alias("v"))
     return PCA(k=2, inputCol="v", outputCol="p").fit(rows).transform(rows).select("vec_id", vector_to_array("p").alias("p"))
 
 
 @query("v20_context_modulation", f"select vec_id, round({COS} * (1 + greatest(-0.5, least(0.5, case label when 1 then 0.4 when 2 then -0.9 else 0 end))), 6) as score from embeddings")
 def v20_modulate(s, d):
-    scored = vecs(s, d).withColumn("score", V.cosine(emb, q))
+    scored = vecs(s, d).withColumn("score", V.cosine(emb(), q()))
     return search.modulate(scored, {"1": 0.4, "2": -0.9}).select("vec_id", F.round("score", 6).alias("score"))
 
 
@@ -245,7 +251,7 @@ U1 = BM + f", a as (select doc_id as id, row_number() over (order by round(s, 9)
 @query("u1_f4_rank_fusion", U1)
 def u1_fusion(s, d):
     text = search.bm25(table(s, d, "documents"), WORDS, variant="okapi").select(F.col("doc_id").alias("id"), F.round("score", 9).alias("score"))
-    near = vecs(s, d).select(F.col("vec_id").alias("id"), V.cosine(emb, q).alias("score"))
+    near = vecs(s, d).select(F.col("vec_id").alias("id"), V.cosine(emb(), q()).alias("score"))
     fused = search.fuse([search.ranked(text, "id", False, 50), search.ranked(near, "id", False, 50)], "id")
     return fused.select("id", F.round("score", 6).alias("score"))
 
@@ -263,12 +269,12 @@ PAIRS = PTS + f", pr as (select a.id as a, b.id as b, {torus('a.v', 'b.v')} as d
 
 
 def points(s, d):
-    return vecs(s, d).select(F.col("vec_id").alias("id"), V.wrap(F.slice(emb, 1, 4)).alias("vec"))
+    return vecs(s, d).select(F.col("vec_id").alias("id"), V.wrap(F.slice(emb(), 1, 4)).alias("vec"))
 
 
 @query("o1_homotopy", f"select vec_id, [case when z[2] - z[1] > 0.5 then 1 when z[2] - z[1] < -0.5 then -1 else 0 end for z in list_zip([x - floor(x) for x in {E}], {WRAPPED})] as wrap, list_sum([abs(case when z[2] - z[1] > 0.5 then 1 when z[2] - z[1] < -0.5 then -1 else 0 end) for z in list_zip([x - floor(x) for x in {E}], {WRAPPED})]) as cost from embeddings")
 def o1_homotopy(s, d):
-    w = V.homotopy_wrap(V.wrap(emb), V.vector([x % 1.0 for x in Q]))
+    w = V.homotopy_wrap(V.wrap(emb()), V.vector([x % 1.0 for x in Q]))
     return vecs(s, d).select("vec_id", w.alias("wrap"), V.homotopy_cost(w).cast("long").alias("cost"))
 
 
