@@ -16,6 +16,8 @@ ASCII and split at ASCII punctuation and white space.
 
 from __future__ import annotations
 
+import itertools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, written
-from .near_dedup import WordHashes
 
 #: The first SKIP directions hold what all texts of a language share; they are left out.
 BITS, RANK, SKIP, OVERSAMPLE = 14, 64, 8, 8
@@ -35,7 +36,6 @@ BANDS, FAN_IN = 32, 32
 #: Items up to which the benchmark is held by every task (2 ** BITS bytes each).
 MAX_ITEMS = 10_000
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
-_SLICE = 1 << 17
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -46,60 +46,66 @@ def _test_matrix() -> np.ndarray:
     return np.random.default_rng(6).standard_normal((1 << BITS, SKIP + RANK + OVERSAMPLE)).astype(np.float32)
 
 
-def _numbers(texts: list[str | None], hashes: WordHashes) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+def _numbers(texts: list[str | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
     """Words by text, all words' feature numbers in a row, and each text's count."""
     split = [words_of(t) for t in texts]
     count = np.array([len(w) for w in split], np.int64)
-    h = np.fromiter((hashes[w] for s in split for w in s), np.uint64, int(count.sum()))
-    return split, (h & np.uint64((1 << BITS) - 1)).astype(np.int32), count
+    h = np.fromiter(map(zlib.crc32, itertools.chain.from_iterable(split)), np.uint32, int(count.sum()))
+    return split, (h * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS)).astype(np.intp), count
 
 
 def _starts(count: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
     """Where each text's blocks of ``step`` words start, and the text of each block."""
     blocks = (count + step - 1) // step
     text = np.repeat(np.arange(len(count)), blocks)
-    first = np.concatenate([[0], np.cumsum(blocks)[:-1]]) if len(blocks) else blocks
-    offset = np.concatenate([[0], np.cumsum(count)[:-1]]) if len(count) else count
+    first = np.cumsum(blocks) - blocks
+    offset = np.cumsum(count) - count
     return offset[text] + (np.arange(len(text)) - first[text]) * step, text
 
 
-def _slices(starts: np.ndarray, end: int) -> Iterator[tuple[int, int, int, int]]:
-    """Runs of whole blocks of about ``_SLICE`` words: first and last block, first and last word."""
-    b = 0
-    while b < len(starts):
-        to = max(b + 1, int(np.searchsorted(starts, starts[b] + _SLICE)))
-        yield b, to, int(starts[b]), int(starts[to]) if to < len(starts) else end
-        b = to
-
-
-def _sums(rows: np.ndarray, numbers: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def _sums(rows: np.ndarray, numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int) -> np.ndarray:
+    """Sum of ``rows`` over each block of at most ``step`` words; the last row of ``rows`` is zero and fills short blocks."""
     out = np.empty((len(starts), rows.shape[1]), np.float32)
-    for b, to, lo, hi in _slices(starts, len(numbers)):
-        out[b:to] = np.add.reduceat(rows[numbers[lo:hi]], starts[b:to] - lo, axis=0)
+    for b in range(0, len(starts), 8192):
+        lo, hi = starts[b : b + 8192], ends[b : b + 8192]
+        own = out[b : b + 8192]
+        own[:] = 0
+        for k in range(step):
+            at = lo + k
+            own += rows.take(np.where(at < hi, numbers.take(np.minimum(at, len(numbers) - 1)), len(rows) - 1), axis=0)
     return out
 
 
+def _with_zero(rows: np.ndarray) -> np.ndarray:
+    return np.vstack([rows, np.zeros((1, rows.shape[1]), rows.dtype)])
+
+
+def _ends(starts: np.ndarray, text: np.ndarray, count: np.ndarray, step: int) -> np.ndarray:
+    return np.minimum(starts + step, np.cumsum(count)[text])
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task: the sums over its passages of (their matrix)' (their matrix) times the test matrix, and frequencies."""
-    omega, hashes, d = _test_matrix(), WordHashes(), 1 << BITS
-    z, df, passages = np.zeros((d, omega.shape[1] + 1)), np.zeros(d), 0
+    omega, d = _with_zero(_test_matrix()), 1 << BITS
+    z, df, passages = np.zeros((omega.shape[1], d)), np.zeros(d), 0
     for batch in batches:
-        _, numbers, count = _numbers(batch.column(0).to_pylist(), hashes)
-        starts, _ = _starts(count, PASSAGE)
+        _, numbers, count = _numbers(batch.column(0).to_pylist())
+        starts, text = _starts(count, PASSAGE)
+        ends = _ends(starts, text, count, PASSAGE)
         passages += len(starts)
-        for b, to, lo, hi in _slices(starts, len(numbers)):
-            own = numbers[lo:hi]
-            y = np.add.reduceat(omega[own], starts[b:to] - lo, axis=0)
-            block = np.repeat(np.arange(to - b), np.diff(np.append(starts[b:to] - lo, hi - lo)))
-            key = np.sort(own.astype(np.int64) << 32 | block)
-            feature, block = key >> 32, key & 0xFFFFFFFF
-            at = np.flatnonzero(np.diff(feature, prepend=-1))
-            z[feature[at], :-1] += np.add.reduceat(y[block], at, axis=0)
-            df += np.bincount(feature[np.diff(key, prepend=-1) != 0], minlength=d)
+        for b in range(0, len(starts), 8192):
+            lo, hi = starts[b : b + 8192], ends[b : b + 8192]
+            y = np.ascontiguousarray(_sums(omega, numbers, lo, hi, PASSAGE).T)
+            own = numbers[lo[0] : hi[-1]]
+            block = np.repeat(np.arange(len(lo)), hi - lo)
+            for k in range(len(y)):
+                z[k] += np.bincount(own, y[k].take(block), d)
+            pairs = np.sort(own * len(lo) + block)
+            df += np.bincount(pairs[np.diff(pairs, prepend=-1) != 0] // len(lo), minlength=d)
     if passages:
-        z[:, -1] = df
+        z = np.vstack([z, df]).T
         part, size = TaskContext.get().partitionId(), d // BANDS
-        rows = [z[k * size : (k + 1) * size].tobytes() for k in range(BANDS)]
+        rows = [np.ascontiguousarray(z[k * size : (k + 1) * size]).tobytes() for k in range(BANDS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(BANDS), pa.int32()), pa.array([part] * BANDS, pa.int64()), pa.array([passages] * BANDS, pa.int64()), pa.array(rows, pa.binary())], names=["band", "part", "n", "z"])
 
 
@@ -151,10 +157,10 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], base: np.ndarray) -> None:
         rows = [(i, t) for i, t in rows if words_of(t)]
-        split, numbers, count = _numbers([t for _, t in rows], WordHashes())
-        offset = np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64)
+        split, numbers, count = _numbers([t for _, t in rows])
+        offset = np.cumsum(count) - count
         self.ids, self.words = [i for i, _ in rows], split
-        self.vectors = _unit(_sums(base, numbers, offset))
+        self.vectors = _unit(_sums(base, numbers, offset, offset + count, int(count.max(initial=1))))
         self.sets = [frozenset(w) for w in split]
         self.holds = np.zeros((len(rows), 1 << BITS), bool)
         self.holds[np.repeat(np.arange(len(rows)), count), numbers] = True
@@ -200,21 +206,22 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, items = shared.value
-        index, hashes = Items(items, own), WordHashes()
+        own = _with_zero(own)
+        index = Items(items, own)
         for batch in batches:
             found: list[tuple] = []
-            split, numbers, count = _numbers(batch.column(1).to_pylist(), hashes)
+            split, numbers, count = _numbers(batch.column(1).to_pylist())
             if len(numbers) and index.ids:
                 starts, text_of = _starts(count, STRIDE)
-                window = _sums(own, numbers, starts)
+                window = _sums(own, numbers, starts, _ends(starts, text_of, count, STRIDE), STRIDE)
                 same = np.flatnonzero(text_of[1:] == text_of[:-1])
                 window[same] += window[same + 1]
                 window = _unit(window)
-                offset = np.concatenate([[0], np.cumsum(count)[:-1]])
+                offset = np.cumsum(count) - count
                 best: dict[tuple[int, int], tuple[float, float, float]] = {}
                 for lo in range(0, len(window), 4096):
                     alike = window[lo : lo + 4096] @ index.vectors.T
-                    at, item_of = np.nonzero(alike >= COSINE)
+                    at, item_of = np.divmod(np.flatnonzero((alike >= COSINE).ravel()), len(index.ids))
                     # of the candidates, those whose words are the item's often enough
                     places = np.minimum(starts[lo + at][:, None] + np.arange(PASSAGE), len(numbers) - 1)
                     enough = index.holds[item_of[:, None], numbers[places]].sum(axis=1) >= index.least[item_of]
