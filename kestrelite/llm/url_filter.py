@@ -125,7 +125,8 @@ def word_counts(pages: DataFrame, html: str = "html", url: str = "url") -> dict[
     """Counts of lower-case words over all pages' texts and urls; the ``VOCABULARY`` most frequent."""
     text = F.lower(F.concat_ws(" ", F.regexp_replace(F.col(html), r"<[^>]*>", " "), F.col(url)))
     words = pages.select(F.explode(F.split(text, r"[^a-z]+")).alias("w")).where((F.length("w") >= 2) & (F.length("w") <= LONGEST))
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(VOCABULARY)
+    # written, so that executors merge the partitions' lists; a direct collect would send each of them to the driver
+    top = written(words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(VOCABULARY), "vocabulary")
     return {r["w"]: r["count"] for r in top.collect()}  # a bounded vocabulary
 
 
