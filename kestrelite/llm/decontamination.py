@@ -5,7 +5,8 @@
    are added up in a tree. No further pass is needed, since the idf scales rows of the sketch and of the test matrix alike.
 2. Words are mapped to their rows of the idf-weighted basis (``RANK`` numbers each). Overlapping windows of every whole text
    are sums of those rows; the benchmark items are the stated query set, and windows within cosine ``COSINE`` of an item
-   of whose words ``OVERLAP`` are the item's are candidates.
+   of whose words ``OVERLAP`` are the item's are candidates. Items are taken in blocks of ``MAX_ITEMS``, each of which is
+   one more pass over the texts with the same basis; the hits of all blocks are united.
 3. A candidate is confirmed in its surroundings: the longest common subsequence of words must cover ``COVER`` of the item,
    and the item's answer (its last quarter) must be covered by ``ANSWER``.
 
@@ -16,13 +17,14 @@ ASCII and split at ASCII punctuation and white space.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +35,8 @@ BITS, RANK, SKIP, OVERSAMPLE = 14, 64, 8, 8
 PASSAGE, STRIDE = 32, 16
 COSINE, OVERLAP, COVER, ANSWER = 0.25, 0.4, 0.7, 0.5
 BANDS, FAN_IN = 32, 32
-#: Items up to which the benchmark is held by every task (2 ** BITS bytes each).
-MAX_ITEMS = 10_000
+#: Items of a block of the benchmark, which every task of its pass holds (2 ** BITS bytes each), and cosines held at a time.
+MAX_ITEMS, AT_ONCE = 10_000, 1 << 20
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
 
 
@@ -155,7 +157,7 @@ def common_words(item_bits: dict[bytes, int], words: list[bytes]) -> int:
 class Items:
     """The benchmark, ready for matching."""
 
-    def __init__(self, rows: list[tuple[int, str]], base: np.ndarray) -> None:
+    def __init__(self, rows: Sequence[tuple[int, str]], base: np.ndarray) -> None:
         rows = [(i, t) for i, t in rows if words_of(t)]
         split, numbers, count = _numbers([t for _, t in rows])
         offset = np.cumsum(count) - count
@@ -195,19 +197,24 @@ def _unit(v: np.ndarray) -> np.ndarray:
 def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and item it holds: key, item_id, cosine, cover, answer_cover."""
     spark = docs.sparkSession
-    rows = [(r[0], r[1]) for r in benchmark.select(item, item_text).where(F.col(item_text).isNotNull()).limit(MAX_ITEMS + 1).collect()]
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"the benchmark is the query set and holds at most {MAX_ITEMS} items a call; split it")
-    base = basis(docs, text)
-    shared = spark.sparkContext.broadcast((base, rows))
-    kind = docs.schema[key].dataType.simpleString()
-    item_kind = benchmark.schema[item].dataType.simpleString()
+    base = spark.sparkContext.broadcast(basis(docs, text))
     arrow_batches(spark)
+    asked = benchmark.select(item, item_text).where(F.col(item_text).isNotNull())
+    rows = ((r[0], r[1]) for r in asked.toLocalIterator())
+    item_kind = benchmark.schema[item].dataType.simpleString()
+    found = [_block_hits(docs, base, block, key, text, item_kind) for block in itertools.batched(rows, MAX_ITEMS)]
+    return functools.reduce(DataFrame.unionAll, found or [_block_hits(docs, base, (), key, text, item_kind)])
+
+
+def _block_hits(docs: DataFrame, base: Broadcast, rows: tuple[tuple, ...], key: str, text: str, item_kind: str) -> DataFrame:
+    """The hits of one block of items (id, text)."""
+    shared = docs.sparkSession.sparkContext.broadcast(rows)
+    kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, items = shared.value
-        own = _with_zero(own)
-        index = Items(items, own)
+        own = _with_zero(base.value)
+        index = Items(shared.value, own)
+        step = max(1, min(4096, AT_ONCE // max(1, len(index.ids))))
         for batch in batches:
             found: list[tuple] = []
             split, numbers, count = _numbers(batch.column(1).to_pylist())
@@ -219,8 +226,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
                 window = _unit(window)
                 offset = np.cumsum(count) - count
                 best: dict[tuple[int, int], tuple[float, float, float]] = {}
-                for lo in range(0, len(window), 4096):
-                    alike = window[lo : lo + 4096] @ index.vectors.T
+                for lo in range(0, len(window), step):
+                    alike = window[lo : lo + step] @ index.vectors.T
                     at, item_of = np.divmod(np.flatnonzero((alike >= COSINE).ravel()), len(index.ids))
                     # of the candidates, those whose words are the item's often enough
                     places = np.minimum(starts[lo + at][:, None] + np.arange(PASSAGE), len(numbers) - 1)

@@ -160,6 +160,14 @@ def test_benchmark_items_are_found(spark, sf_dir, odd, none):
     assert decontamination.hits(odd, odd_items.limit(0)).count() == 0 and decontamination.keep(odd, odd_items).count() == 9
 
 
+def test_benchmark_beyond_a_block_gives_the_same_hits(spark, sf_dir, monkeypatch):
+    docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = lambda: {(r.doc_id, r.item_id, round(r.cosine, 4), r.cover, r.answer_cover) for r in decontamination.hits(docs, items).collect()}
+    whole, left = found(), decontamination.keep(docs, items).count()
+    monkeypatch.setattr(decontamination, "MAX_ITEMS", 7)
+    assert whole and items.count() > 3 * 7 and found() == whole and decontamination.keep(docs, items).count() == left
+
+
 def test_common_subsequence_is_exact():
     r = random.Random(2)
     for _ in range(200):
