@@ -136,7 +136,7 @@ def lsh_nearest(nodes: DataFrame, query: list[float], k: int, key: str = "vec_id
     return hits.select(key, F.col("distCol").alias("score"))
 
 
-def ivf_nearest(nodes: DataFrame, query: list[float], k: int, lists: int = 16, probes: int = 4, key: str = "vec_id", vec: str = "embedding", seed: int = 7, sample: int = 100_000) -> DataFrame:
+def ivf_nearest(nodes: DataFrame, query: list[float], k: int, lists: int = 16, probes: int = 12, key: str = "vec_id", vec: str = "embedding", seed: int = 7, sample: int = 100_000) -> DataFrame:
     """Inverted lists by k-means (fitted on at most ``sample`` rows, every row indexed); the nearest ``probes`` are ranked exactly."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector

@@ -44,6 +44,16 @@ def test_approximate_indexes_reach_recall(spark, sf_dir):
         assert len(exact & {r.vec_id for r in found.collect()}) >= 8
 
 
+def test_registered_lists_reach_recall(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").cache()
+    kept, asked = 0, rows.where("vec_id % 50 = 0").collect()
+    for r in asked:  # k and the defaults as v11_ivf_nearest is registered
+        q = [float(x) for x in r["embedding"]]
+        exact = {x.vec_id for x in search.nearest(rows, q, 10, "euclidean").collect()}
+        kept += len(exact & {x.vec_id for x in search.ivf_nearest(rows, q, 10).collect()})
+    assert asked and kept >= 0.9 * 10 * len(asked)
+
+
 def test_dijkstra_path(spark):
     e = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, 5.0)], "src long, dst long, weight double")
     got = {r.id: (r.cost, r.path) for r in graph.shortest_paths(e, 1).collect()}
