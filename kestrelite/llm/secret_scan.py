@@ -6,7 +6,8 @@ signed token's JSON header, nested DER lengths that add up, or length-prefixed k
 
 Defined cases: null text counts as empty and has no spans; rows are judged one by one, so repeated rows each report; of the
 input only the named columns are read, so extra or clashing columns do not matter; an empty table gives an empty result.
-Offsets are code points, the end exclusive. Work is linear in the text but for the decoding of candidates, each of which is
+Offsets are code points, the end exclusive. A signed token is also found inside a candidate, as after a path or before a
+full stop. Work is linear in the text but for the decoding of candidates, each of which is
 decoded once.
 """
 
@@ -28,6 +29,8 @@ _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _LONG = re.compile(r"[A-Za-z0-9+/_=.-]{32,}")
+#: A token inside a candidate; parts hold no other characters, so each of them is looked at three times at most.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?=(ey[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*={0,2}))")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]+?)-----END \1-----")
 _SSH = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 
@@ -141,11 +144,19 @@ def added_spans(text: str) -> list[tuple[int, int, int]]:
     spans = []
     for m in _LONG.finditer(text):
         # an assignment's name may be glued to its value: the value begins after the last = that is not padding
-        s, start = m.group(), m.start()
+        whole, s, start, found, end = m.group(), m.group(), m.start(), (0, 0), 0
         cut = s.rstrip("=.").rfind("=") + 1
         s, start = s[cut:], start + cut
         if len(s) >= 32 and (kind := structure(s)):
-            spans.append((KINDS.index(kind), start, start + len(s.rstrip("."))))
+            found = (start, start + len(s.rstrip(".")))
+            spans.append((KINDS.index(kind), *found))
+        if whole.count(".") >= 2 and "ey" in whole:
+            # a token may be glued to a path or followed by a full stop
+            for t in _TOKEN.finditer(whole):
+                lo, hi = m.start() + t.start(), m.start() + t.start() + len(t[1].rstrip("."))
+                if lo >= end and (lo >= found[1] or hi <= found[0]) and len(t[1]) >= 32 and signed_token(t[1]):
+                    end = hi
+                    spans.append((KINDS.index("jwt"), lo, hi))
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
             data = _decode("".join(m.group(2).split()))

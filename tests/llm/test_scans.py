@@ -81,6 +81,14 @@ def test_structures_are_confirmed_or_not():
     assert secret_scan.added_spans("plain words " * 500) == []
 
 
+def test_signed_tokens_are_found_inside_a_candidate():
+    part = lambda o: base64.urlsafe_b64encode(json.dumps(o).encode()).decode().rstrip("=")
+    token = f"{part({'alg': 'HS256'})}.{part({'sub': 'someone', 'n': 12345})}.c2lnbmF0dXJl"
+    bare = token.rsplit(".", 1)[0] + "."
+    for text, want in ((f"It is {token}.", [token]), (f"at /v1/{token}", [token]), (f"../{token}...", [token]), (f"{token}.Then", [token]), (f"a/{token}/{token}.", [token] * 2), (token, [token]), (f"x {bare} y", [bare[:-1]]), (f"k={token}==", [token + "=="]), (f"a.{part({'x': 1})}.{part({})}.c2lnbmF0dXJl.", [])):
+        assert [text[s:e] for k, s, e in secret_scan.added_spans(text) if secret_scan.KINDS[k] == "jwt"] == want
+
+
 def test_secret_edge_cases(odd, none):
     assert secret_scan.scan(odd).count() == 9 and secret_scan.scan(none).count() == 0
 
