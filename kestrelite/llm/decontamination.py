@@ -247,7 +247,9 @@ def _block_hits(docs: DataFrame, base: Broadcast, rows: tuple[tuple, ...], key:
 
 
 def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item."""
-    gone = written(hits(docs, benchmark).where("doc_id is not null").select("doc_id").distinct(), "contaminated")
+    """The rows of ``docs`` that hold no benchmark item; rows with a null id are told apart by their texts."""
+    known = F.concat(F.lit("id "), F.col("doc_id").cast("string"))
+    keyed = docs.withColumn("__row", F.coalesce(known, F.concat(F.lit("text "), F.sha2("text", 256))))
+    gone = written(hits(keyed, benchmark, "__row").select("__row").distinct(), "contaminated")
     small = gone.limit(1_000_001).count() <= 1_000_000
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
+    return keyed.join(F.broadcast(gone) if small else gone, "__row", "left_anti").drop("__row")

@@ -168,6 +168,14 @@ def test_benchmark_beyond_a_block_gives_the_same_hits(spark, sf_dir, monkeypatch
     assert whole and items.count() > 3 * 7 and found() == whole and decontamination.keep(docs, items).count() == left
 
 
+def test_contaminated_rows_without_an_id_go(spark, sf_dir):
+    docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    held = [(None, f"{r.text} and after") for r in items.orderBy("item_id").limit(3).collect()]
+    free = [(None, "some clean words without any item"), (None, None), (None, "")]
+    kept = decontamination.keep(docs.union(spark.createDataFrame(held + free, "doc_id long, text string")), items)
+    assert kept.columns == docs.columns and sorted(str(r.text) for r in kept.where("doc_id is null").collect()) == sorted(str(t) for _, t in free)
+
+
 def test_common_subsequence_is_exact():
     r = random.Random(2)
     for _ in range(200):
