@@ -80,13 +80,14 @@ def hybrid_graph_vector(edges: DataFrame, close: DataFrame, starts: DataFrame, l
     return found.groupBy("id").agg(F.min_by("score", "o").alias("score")).orderBy("score", "id").limit(limit)
 
 
-def shortest_paths(edges: DataFrame, source: int, max_rounds: int = 50) -> DataFrame:
+def shortest_paths(edges: DataFrame, source: int) -> DataFrame:
     """(id, cost, path): least cost from ``source`` with non-negative weights, by relaxation until nothing improves."""
     spark = edges.sparkSession
     best = cut(spark.createDataFrame([(source, 0.0, [source])], "id long, cost double, path array<long>"))
     changed = best
-    for _ in range(max_rounds):
-        step = changed.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("cost") + F.col("weight")).alias("cost"), F.concat("path", F.array(F.col("dst").cast("long"))).alias("path"))
+    while True:
+        # a path that comes back to a node is never cheaper, so paths stay simple and the rounds end
+        step = changed.join(edges, (F.col("id") == F.col("src")) & ~F.array_contains("path", F.col("dst").cast("long"))).select(F.col("dst").alias("id"), (F.col("cost") + F.col("weight")).alias("cost"), F.concat("path", F.array(F.col("dst").cast("long"))).alias("path"))
         step = step.groupBy("id").agg(F.min(F.struct("cost", "path")).alias("s")).select("id", "s.*")
         old = best.select("id", F.col("cost").alias("old"))
         better = cut(step.join(old, "id", "left").where(F.col("old").isNull() | (F.col("cost") < F.col("old"))).drop("old"))

@@ -60,6 +60,12 @@ def test_dijkstra_path(spark):
     assert got[3] == (2.0, [1, 2, 3])
 
 
+def test_paths_go_to_the_end_of_a_long_chain(spark):
+    e = spark.range(0, 52, 1, 1).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("weight"))
+    far = spark.createDataFrame([(52, 0, 1.0), (0, 52, 99.0)], "src long, dst long, weight double").coalesce(1)  # a cycle, and a dear way round
+    assert {r.id: r.cost for r in graph.shortest_paths(e.union(far), 0).collect()} == {k: float(k) for k in range(53)}
+
+
 def test_bfs_on_a_cycle_ends(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "src long, dst long")
     assert {(r.id, r.depth) for r in graph.bfs(e, spark.createDataFrame([(1,)], "id long"), 9).collect()} == {(1, 0), (2, 1), (3, 2)}
