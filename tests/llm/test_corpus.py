@@ -108,8 +108,10 @@ def test_components_of_a_long_chain(spark):
     assert all(got[i] == 0 for i in range(61)) and got[101] == 100
 
 
-def test_line_dedup_equals_brute_force(spark, odd, none):
-    r = random.Random(5)
+@pytest.mark.parametrize("frequent", [0, 40])
+def test_line_dedup_equals_brute_force(spark, odd, none, monkeypatch, frequent):
+    monkeypatch.setattr(line_dedup, "FREQUENT", frequent)  # all words, some or none are posted in pairs
+    r = random.Random(5 + frequent)
     rows, vocabulary = [], [f"t{i}" for i in range(40)]
     for d in range(60):
         lines = []
@@ -136,6 +138,14 @@ def test_line_dedup_equals_brute_force(spark, odd, none):
     assert line_dedup.report(odd).count() == 9 and line_dedup.report(none).count() == 0
 
 
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    words = [f"w{i}" for i in range(30)]
+    rows = [(7, " ".join(words[k : k + 10])) for k in range(0, 30, 10)] + [(8, " ".join(words[10:19])), (7, " ".join(words[:9]))]
+    got = line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    # a line of id 7 is not earlier than another of the same id and number; that of id 8 matches one of them
+    assert sorted((x.doc_id, x.line) for x in got) == [(8, 0)]
+
+
 def test_line_dedup_stays_in_the_engine(spark, sf_dir):
     for name in ("op4_line_dedup", "op7_quality"):
         plan = queries.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
