@@ -2,22 +2,28 @@
 
 Arrivals are appended as small immutable Parquet shards. While a tier holds ``FAN_IN`` runs of similar size, they are merged
 into the next tier, up to target-sized files, which are never touched again. Every change ends with one atomic commit: the
-manifest of the next version is written under a temporary name and renamed, which fails if that version exists, so a reader
-sees all of a commit or nothing and a lost writer leaves only files that no manifest names (``vacuum`` removes them).
+manifest of the next version is written under a temporary name and renamed without overwriting, so a reader sees all of a
+commit or nothing, and of two writers of a version one fails, reads the winner's manifest and commits on top of it. A lost
+writer leaves only files that no manifest names; ``vacuum`` removes them once they are older than a grace period, which must
+be longer than any append takes. The store needs a file system whose rename does not replace (HDFS; not plain object stores).
 
-Sizes are bytes of text, so plans do not depend on compression. A merge reads and writes its own shards only. The manifest
-holds one line per shard, so it grows with the number of target-sized files, not with rows.
+Sizes are bytes of the rows' strings, so plans do not depend on compression. Arrivals are cut to the small size by rows, from
+their mean size. A merge reads and writes its own shards only. The manifest holds one line per shard, so it grows with the
+number of target-sized files, not with rows.
 
-Defined cases: null texts weigh 0 bytes; repeated rows are all stored; any columns may come, as rows are stored whole; an
-empty table commits a manifest of no rows; rows with a null id arrive first.
+Defined cases: nulls weigh 0 bytes; repeated rows are all stored; any columns may come, also no text at all, as rows are stored
+whole; input columns named ``shard`` or ``version`` come back with ``_input`` added; an empty table commits a manifest of no rows; rows with a null id arrive first.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import time
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -26,8 +32,8 @@ from .common import new_path
 
 #: Bytes of text of a finished file and of an arriving shard, and how many similar runs make a merge.
 TARGET, SMALL, FAN_IN = 64 << 20, 4 << 20, 4
-#: Merges that run in one job.
-MERGES = 32
+#: Merges that run in one job, commits that are tried against other writers, and seconds for which unnamed files are left alone.
+MERGES, TRIES, GRACE = 32, 20, 24 * 3600
 
 
 class Store:
@@ -69,30 +75,54 @@ class Store:
         stream = self.fs.create(temporary)
         stream.write(bytearray(json.dumps(made, indent=1).encode()))
         stream.close()
-        # rename replaces nothing on HDFS; where a file system would, the check before it narrows the race to its own lock
-        if self.fs.exists(final) or not self.fs.rename(temporary, final):
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self.spark._jsc.hadoopConfiguration())
+        nothing = self.spark.sparkContext._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            context.rename(temporary, final, nothing)
+        except Py4JJavaError as e:
             self.fs.delete(temporary, False)
-            raise FileExistsError(f"version {made['version']} was committed by another writer")
+            if not self.fs.exists(final):
+                raise
+            raise FileExistsError(f"version {made['version']} was committed by another writer") from e
         return made
 
+    def _commit_on_top(self, change: Callable[[dict], tuple[list[dict], str | None] | None]) -> dict:
+        """Commit what ``change`` makes of the latest manifest, again on top of any writer that was faster."""
+        for _ in range(TRIES):
+            base = self.manifest()
+            made = change(base)
+            if made is None:
+                return base
+            try:
+                return self.commit(base, *made)
+            except FileExistsError:
+                continue
+        raise FileExistsError(f"{TRIES} commits were overtaken by other writers")
+
     # ---- writing
 
-    def _write(self, rows: DataFrame) -> list[dict]:
-        """Write one file per partition of ``rows``, without a shuffle, and describe them as shards."""
+    def _write(self, rows: DataFrame, per_file: int = 0) -> list[dict]:
+        """Write one file per partition of ``rows`` (more past ``per_file`` rows), without a shuffle, and describe them as shards."""
         batch = uuid.uuid4().hex[:12]
         folder = f"{self.path}/data/{batch}"
-        rows.write.parquet(folder)
+        rows.write.option("maxRecordsPerFile", per_file).parquet(folder)
         names = [f.getPath().getName() for f in self.fs.listStatus(self._path(f"data/{batch}"))]
         if not any(n.endswith(".parquet") for n in names):
             return []
-        found = self.spark.read.parquet(folder).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), weight(F.col("text")).alias("bytes"))
+        found = self.spark.read.schema(rows.schema).parquet(folder)
+        found = found.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), weight(found).alias("bytes"))
         sizes = found.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("bytes")).collect()  # one line a shard
         return [{"path": f"data/{batch}/{r['file']}", "rows": r["rows"], "bytes": int(r["bytes"])} for r in sizes]
 
-    def append(self, rows: DataFrame) -> dict:
-        """Add arrivals as small shards, one per partition of ``rows``, and commit."""
-        base = self.manifest()
-        return self.commit(base, base["shards"] + self._write(rows), rows.schema.json())
+    def rows_of_small(self, rows: DataFrame) -> int:
+        """Rows that fill a small shard, by the mean size of a row."""
+        n, size = rows.agg(F.count(F.lit(1)), F.sum(weight(rows))).first()
+        return max(1, self.small * n // size) if n and size else 0
+
+    def append(self, rows: DataFrame, per_file: int | None = None) -> dict:
+        """Add arrivals as small shards, one or more per partition of ``rows``, and commit."""
+        new = self._write(rows, self.rows_of_small(rows) if per_file is None else per_file)
+        return self._commit_on_top(lambda base: (base["shards"] + new, rows.schema.json()))
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version."""
@@ -144,24 +174,48 @@ class Store:
                 new = self._write(functools.reduce(DataFrame.unionAll, merges))
                 gone = {s["path"] for g in groups[k : k + MERGES] for s in g}
                 shards = [s for s in shards if s["path"] not in gone] + new
-        return self.commit(base, shards, base["schema"]) if shards != base["shards"] else base
-
-    def vacuum(self, keep_versions: int = 1) -> None:
-        """Delete files that none of the last ``keep_versions`` manifests names, and older manifests."""
+        before, after = {s["path"] for s in base["shards"]}, {s["path"] for s in shards}
+        if before == after:
+            return base
+
+        def change(latest: dict) -> tuple[list[dict], str | None] | None:
+            here = {s["path"] for s in latest["shards"]}
+            if not before - after <= here:
+                return None  # another writer has merged some of them: its merge stands, ours is left to vacuum
+            kept = [s for s in latest["shards"] if s["path"] not in before - after]
+            return kept + [s for s in shards if s["path"] not in before], latest["schema"]
+
+        return self._commit_on_top(change)
+
+    def vacuum(self, keep_versions: int = 2, grace: float = GRACE) -> None:
+        """Delete files older than ``grace`` seconds that none of the last ``keep_versions`` manifests names, and older manifests.
+
+        A concurrent append's files, written and not yet committed, are younger than that and stay.
+        """
+        until = int((time.time() - grace) * 1000)
+        candidates = []
+        if self.fs.exists(self._path("data")):
+            for batch in self.fs.listStatus(self._path("data")):
+                name = batch.getPath().getName()
+                candidates += [(f"data/{name}/{f.getPath().getName()}", f) for f in self.fs.listStatus(batch.getPath()) if f.getModificationTime() <= until]
+        # manifests are read after the listing, so that what was committed meanwhile counts as named
         known = self.versions()
         used = {s["path"] for v in known[-keep_versions:] for s in self.manifest(v)["shards"]}
+        for name, file in candidates:
+            if name not in used:
+                self.fs.delete(file.getPath(), True)
         for v in known[:-keep_versions]:
             self.fs.delete(self._path(f"_manifests/v{v:08d}.json"), False)
-        if self.fs.exists(self._path("data")):
-            for batch in self.fs.listStatus(self._path("data")):
-                name = batch.getPath().getName()
-                for shard in self.fs.listStatus(batch.getPath()):
-                    if f"data/{name}/{shard.getPath().getName()}" not in used:
-                        self.fs.delete(shard.getPath(), True)
 
 
-def weight(text: Column) -> Column:
-    return F.octet_length(F.coalesce(text, F.lit("")))
+def weight(rows: DataFrame) -> Column:
+    """Bytes of a row: those of its strings, and eight for each other column."""
+    kinds = {c: t.simpleString() for c, t in ((f.name, f.dataType) for f in rows.schema)}
+    size = F.lit(8 * sum(t not in ("string", "binary") for t in kinds.values())).cast("long")
+    for c, t in kinds.items():
+        if t in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0))
+    return size
 
 
 def shard(docs: DataFrame, arrivals: int = 3, path: str | None = None, key: str = "doc_id") -> DataFrame:
@@ -171,10 +225,12 @@ def shard(docs: DataFrame, arrivals: int = 3, path: str | None = None, key: str
     """
     store = Store(docs.sparkSession, path or new_path(docs.sparkSession, "shards"))
     batch = F.coalesce(F.pmod(F.xxhash64(key), F.lit(arrivals)), F.lit(0))
+    per_file = store.rows_of_small(docs)
     for k in range(arrivals):
-        store.append(docs.where(batch == k))
+        store.append(docs.where(batch == k), per_file)
         store.compact()
-        store.vacuum()
+        # a store of our own has no other writer whose files could be taken for lost ones
+        store.vacuum(1 if path is None else 2, 0 if path is None else GRACE)
     made = store.manifest()
     clash = {"shard", "version"} & set(docs.columns)
     shown = [F.col(f"`{c}`").alias(f"{c}_input" if c in clash else c) for c in docs.columns]
