@@ -71,23 +71,27 @@ def features(text: str | None, ids: Ids, bits: int = BITS) -> tuple[np.ndarray,
     return np.concatenate([bias, extra, index]), np.concatenate([np.ones(3, np.float32), value])
 
 
+#: Updates that a small training set is brought to by further passes, and the most passes.
+UPDATES, MOST_ROUNDS = 40_000, 40
+
+
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS, rounds: int = ROUNDS) -> np.ndarray:
-    """FTRL-proximal over the rows (label, indices, values) in order."""
+    """FTRL-proximal over the rows (label, indices, values) in order; few rows are passed more often, to as many updates."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
 
     def weights(i: np.ndarray) -> np.ndarray:
         zi = z[i]
         return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
-    for _ in range(rounds):
+    for _ in range(max(rounds, min(MOST_ROUNDS, UPDATES // max(len(rows), 1)))):
         for label, i, x in rows:
             w = weights(i)
             p = 1 / (1 + math.exp(-max(-35.0, min(35.0, float(w @ x)))))
             g = (p - label) * x
             sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
-            # an index that occurs twice in one row (an extra feature that collides) takes its last update
-            z[i] += g - sigma * w
-            n[i] += g * g
+            # an index may occur twice in one row, where a feature collides with another: both updates count
+            np.add.at(z, i, g - sigma * w)
+            np.add.at(n, i, g * g)
     return weights(np.arange(1 << bits)).astype(np.float32)
 
 
