@@ -11,7 +11,7 @@
 
 Recall: a pair of similarity s meets in a tree with probability s**d, d the level of its leaf, so at s = 0.8 ten trees
 miss it with probability 0.2**10 for leaves at level 1 and 0.36**10 at level 2 (under 4e-5); a real pair's estimate from
-40 tokens falls under ``LEAST`` with probability below 1e-6. Links are never accepted without the full sets.
+40 tokens falls under ``LEAST`` with probability below 6e-6. Links are never accepted without the full sets.
 
 Defined cases: null or blank texts have no shingles and link with nothing; texts of fewer words than a shingle have one
 shingle, the whole sequence; rows that share an id are one document (their sets' links are joined); rows with a null id
@@ -93,32 +93,41 @@ def _sketch(words: int):
     return run
 
 
-def _leaf_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of each leaf whose estimate reaches ``LEAST``; ``first`` marks a maximum spanning forest."""
-    for batch in batches:
-        out: tuple[list, list, list] = ([], [], [])
-        for members in batch.column(0).to_pylist():
-            members.sort(key=lambda m: m["id"])
-            ids, n = [m["id"] for m in members], np.array([m["n"] for m in members])
-            t = np.frombuffer(b"".join(m["tokens"] for m in members), np.uint32).reshape(len(members), -1)
-            i, j = np.triu_indices(len(members), 1)
-            alike = (t[i] == t[j]).mean(axis=1)
-            ok = (alike >= LEAST) & (10 * np.minimum(n[i], n[j]) >= 8 * np.maximum(n[i], n[j]))
-            root = list(range(len(members)))
-
-            def find(x: int, root: list[int] = root) -> int:
-                while root[x] != x:
-                    root[x] = x = root[root[x]]
-                return x
-
-            for k in np.argsort(-alike, kind="stable"):
-                if ok[k] and ids[i[k]] != ids[j[k]]:
-                    a, b = find(i[k]), find(j[k])
-                    root[max(a, b)] = min(a, b)
-                    out[0].append(ids[i[k]])
-                    out[1].append(ids[j[k]])
-                    out[2].append(a != b)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], names=["a", "b", "first"])
+def least(percent: int) -> float:
+    """The estimate that makes a pair a candidate; ``LEAST`` at 80."""
+    return LEAST * percent / 80
+
+
+def _leaf_pairs(percent: int):
+    """All pairs of each leaf whose estimate reaches ``least(percent)``; ``first`` marks a maximum spanning forest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for members in batch.column(0).to_pylist():
+                members.sort(key=lambda m: m["id"])
+                ids, n = [m["id"] for m in members], np.array([m["n"] for m in members])
+                t = np.frombuffer(b"".join(m["tokens"] for m in members), np.uint32).reshape(len(members), -1)
+                i, j = np.triu_indices(len(members), 1)
+                alike = (t[i] == t[j]).mean(axis=1)
+                ok = (alike >= least(percent)) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+                root = list(range(len(members)))
+
+                def find(x: int, root: list[int] = root) -> int:
+                    while root[x] != x:
+                        root[x] = x = root[root[x]]
+                    return x
+
+                for k in np.argsort(-alike, kind="stable"):
+                    if ok[k] and ids[i[k]] != ids[j[k]]:
+                        a, b = find(i[k]), find(j[k])
+                        root[max(a, b)] = min(a, b)
+                        out[0].append(ids[i[k]])
+                        out[1].append(ids[j[k]])
+                        out[2].append(a != b)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], names=["a", "b", "first"])
+
+    return run
 
 
 def _confirm(words: int, percent: int):
@@ -187,18 +196,21 @@ def _between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _large_pairs(large: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
+def _large_pairs(large: DataFrame, reps: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """Pairs between the components that meet in a node still large at the last level; most nodes hold only one."""
     own = large.join(comps, "id", "left").select("node", "id", F.coalesce("component", "id").alias("c"))
     mixed = own.groupBy("node").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("node")
     own = own.join(mixed, "node", "left_semi").join(reps.select("id", "n"), "id")
     x, y = own.toDF(*[f"{c}1" for c in own.columns]), own.toDF(*[f"{c}2" for c in own.columns])
-    near = (F.col("id1") < F.col("id2")) & (F.col("c1") != F.col("c2")) & (10 * F.least("n1", "n2") >= 8 * F.greatest("n1", "n2"))
+    near = (F.col("id1") < F.col("id2")) & (F.col("c1") != F.col("c2")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
     return x.join(y, F.col("node1") == F.col("node2")).where(near).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: key, n_shingles, component_id, kept. Links: Jaccard of at least ``percent`` hundredths."""
+    """Per row of ``docs``: key, n_shingles, component_id, kept. Links: Jaccard of at least ``percent`` hundredths.
+
+    The number of trees is set for 80 or more; below, links stay right and fewer of them are found. Ids are integers.
+    """
     spark = docs.sparkSession
     arrow_batches(spark)
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
@@ -207,7 +219,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     classes = written(known.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies")), "classes")
     leaves, stars, large = _nodes(classes)
     members = leaves.join(classes.select("id", F.struct("id", "n", "tokens").alias("m")), "id").groupBy("node").agg(F.collect_list("m").alias("m"))
-    pairs = members.select("m").mapInArrow(_leaf_pairs, "a long, b long, first boolean")
+    pairs = members.select("m").mapInArrow(_leaf_pairs(percent), "a long, b long, first boolean")
     pairs = written(pairs.groupBy("a", "b").agg(F.max("first").alias("first")), "candidates")
     links = confirm(docs, pairs.where("first").select("a", "b").union(stars), words, percent)
     # Rows that share an id are one document: their classes are linked.
@@ -215,7 +227,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, key: str
     shared = known.join(shared, "id", "left_semi").select(F.col("id").alias("a"), "key").join(classes.select("key", F.col("id").alias("b")), "key").select("a", "b")
     links = links.union(shared)
     comps = components(links)
-    for more in (lambda: _between(pairs.where("not first"), comps), lambda: _large_pairs(large, classes, comps)):
+    for more in (lambda: _between(pairs.where("not first"), comps), lambda: _large_pairs(large, classes, comps, percent)):
         rest = written(more(), "rest")
         if rest.limit(1).count():
             links = links.union(confirm(docs, rest, words, percent))
