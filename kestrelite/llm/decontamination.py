@@ -131,14 +131,18 @@ def basis(docs: DataFrame, text: str = "text") -> np.ndarray:
         parts, left = written(parts, "sketch"), left // FAN_IN
     bands = sorted(parts.collect(), key=lambda r: r["band"])  # BANDS rows of a fixed size
     z = np.concatenate([np.frombuffer(r["z"]).reshape(-1, SKIP + RANK + OVERSAMPLE + 1) for r in bands])
-    idf = np.log((1.0 + bands[0]["n"]) / (1.0 + z[:, -1]))[:, None]
+    # above 0 also for a word of every passage, or a table of one passage would span nothing
+    idf = np.maximum(np.log((1.0 + bands[0]["n"]) / (1.0 + z[:, -1])), 1e-3)[:, None]
     omega, z = _test_matrix().astype(float), z[:, :-1]
     core = omega.T @ z
     core = (core + core.T) / 2
     values, vectors = np.linalg.eigh(core)
     ok = values > values[-1] * 1e-10
     f = (idf * z) @ (vectors[:, ok] / np.sqrt(values[ok]))
-    u = np.linalg.svd(f, full_matrices=False)[0][:, SKIP : SKIP + RANK]
+    u, size, _ = np.linalg.svd(f, full_matrices=False)
+    # few passages span few directions: all but an eighth of them are kept
+    skip = min(SKIP, int((size > 1e-9 * max(float(size.max(initial=0.0)), 1e-300)).sum()) // 8)
+    u = u[:, skip : skip + RANK]
     out = np.zeros((1 << BITS, RANK), np.float32)
     out[:, : u.shape[1]] = idf * idf * u  # once for the item or window, once for the basis
     return out
