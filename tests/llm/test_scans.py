@@ -1,6 +1,7 @@
 """PII, secrets, urls and the classifier against brute force, round trips and held-out accuracy."""
 
 import base64
+import itertools
 import json
 import random
 import re
@@ -65,27 +66,46 @@ def der(tag, body):
     return bytes([tag]) + (bytes([len(body)]) if len(body) < 128 else b"\x82" + len(body).to_bytes(2, "big")) + body
 
 
+def keys():
+    """Private keys of each form, and public ones that look alike; made of bytes, none is real."""
+    num = lambda n, seed=1: der(2, bytes([1]) + bytes((i * 37 + seed) % 256 for i in range(n - 1)))
+    oid = der(0x30, der(6, bytes.fromhex("2a864886f70d010101")) + der(5, b""))
+    rsa = der(0x30, der(2, b"\0") + b"".join(num(n, n) for n in (128, 3, 128, 64, 64, 64, 64, 64)))
+    ec = der(0x30, der(2, b"\1") + der(4, bytes(range(32))) + der(0xA0, der(6, bytes.fromhex("2a8648ce3d030107"))) + der(0xA1, der(3, b"\0\4" + bytes(64))))
+    eight = der(0x30, der(2, b"\0") + oid + der(4, rsa))
+    sealed = der(0x30, der(0x30, der(6, bytes.fromhex("2a864886f70d01050d")) + der(0x30, der(4, bytes(8)) + der(2, b"\x08\0"))) + der(4, bytes(range(64))))
+    spki = der(0x30, oid + der(3, b"\0" + der(0x30, num(128) + num(3))))
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    public = field(b"ssh-ed25519") + field(bytes(32))
+    box = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(public) + field(bytes(range(136)))
+    return {"rsa": rsa, "ec": ec, "eight": eight, "sealed": sealed}, {"spki": spki, "public": public, "short": rsa[:-1], "magic": b"openssh-key-v1\0" + bytes(range(40)), "numbers": der(0x30, num(99) + num(3))}, box
+
+
 def test_structures_are_confirmed_or_not():
-    key = der(0x30, der(2, b"\0") + der(2, bytes(range(1, 100))) + der(2, b"\1\0\1"))
-    b64 = base64.b64encode(key).decode()
-    assert secret_scan.structure(b64) == "der" and secret_scan.structure(key.hex()) == "der"
-    assert secret_scan.structure(base64.b64encode(key[:-1]).decode()) is None
-    part = lambda o: base64.urlsafe_b64encode(json.dumps(o).encode()).decode().rstrip("=")
-    token = f"{part({'alg': 'HS256'})}.{part({'sub': 'someone', 'n': 12345})}.c2lnbmF0dXJl"
-    assert secret_scan.structure(token) == "jwt" and secret_scan.structure(f"{part({'x': 1})}.{part({})}.xx") is None
-    ssh = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(32)))
-    assert secret_scan.structure(base64.b64encode(ssh).decode()) == "ssh"
-    text = f"é key={b64}\n-----BEGIN RSA PRIVATE KEY-----\n{b64}\n-----END RSA PRIVATE KEY-----"
-    found = {secret_scan.KINDS[k]: text[s:e] for k, s, e in secret_scan.added_spans(text)}
-    assert found["der"] == b64 and found["pem"].startswith("-----BEGIN")
-    assert secret_scan.added_spans("plain words " * 500) == []
+    private, public, box = keys()
+    encode = lambda x: base64.b64encode(x).decode()
+    spans = lambda t: [(secret_scan.KINDS[k], t[s:e]) for k, s, e in secret_scan.added_spans(t)]
+    for kind, data in [("der", d) for d in private.values()] + [("ssh", box)]:
+        b64 = encode(data)
+        assert secret_scan.structure(b64) == (kind, len(b64))
+        for text in (b64, f"é file/{b64}", f"key={b64} then", f"a_{b64}", f"{b64}."):
+            assert spans(text) == [(kind, b64)], text[:20]
+        wrapped = "\n".join(b64[i : i + 64] for i in range(0, len(b64), 64))
+        assert spans(f"x\n{wrapped}\ny")[0][1].split() == wrapped.split()
+        assert [k for k, _ in spans(f"-----BEGIN PRIVATE KEY-----\n{wrapped}\n-----END PRIVATE KEY-----")] == ["pem"]
+    assert spans(f"id {private['ec'].hex()} end") == [("der", private["ec"].hex())]
+    for data in public.values():
+        assert spans(encode(data)) == [] and spans(data.hex()) == [] and spans(f"-----BEGIN X KEY-----\n{encode(data)}\n-----END X KEY-----") == []
+    old = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n{encode(bytes(range(128)))}\n-----END RSA PRIVATE KEY-----"
+    assert spans(old) == [("pem", old)]
+    assert secret_scan.added_spans("plain words " * 500) == [] and secret_scan.added_spans("MIIB/" * 20_000) == []
 
 
 def test_signed_tokens_are_found_inside_a_candidate():
     part = lambda o: base64.urlsafe_b64encode(json.dumps(o).encode()).decode().rstrip("=")
     token = f"{part({'alg': 'HS256'})}.{part({'sub': 'someone', 'n': 12345})}.c2lnbmF0dXJl"
     bare = token.rsplit(".", 1)[0] + "."
-    for text, want in ((f"It is {token}.", [token]), (f"at /v1/{token}", [token]), (f"../{token}...", [token]), (f"{token}.Then", [token]), (f"a/{token}/{token}.", [token] * 2), (token, [token]), (f"x {bare} y", [bare[:-1]]), (f"k={token}==", [token + "=="]), (f"a.{part({'x': 1})}.{part({})}.c2lnbmF0dXJl.", [])):
+    for text, want in ((f"It is {token}.", [token]), (f"at /v1/{token}", [token]), (f"../{token}...", [token]), (f"{token}.Then", [token]), (f"a/{token}/{token}.", [token] * 2), (token, [token]), (f"x {bare} y", [bare[:-1]]), (f"k={token}==", [token + "=="]), (f"Bearer_{token}", [token]), (f"http://h/cb/{token}", [token]), (f"a.{part({'x': 1})}.{part({})}.c2lnbmF0dXJl.", [])):
         assert [text[s:e] for k, s, e in secret_scan.added_spans(text) if secret_scan.KINDS[k] == "jwt"] == want
 
 
@@ -122,10 +142,41 @@ def test_url_filter_blocks_seed_hosts(spark, sf_dir):
     assert url_filter.judge(empty.limit(0)).count() == 0
 
 
-def test_classifier_held_out(spark, sf_dir, odd, none):
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rows = queries.queries()["op9_quality_classifier"](spark, sf_dir).join(labels, "doc_id").where("held_out").collect()
-    assert sum(r.predicted == r.quality for r in rows) / len(rows) >= 0.8
+def test_words_are_split_as_by_all_splits():
+    s = url_filter.Splitter({"a": 30, "ab": 9, "abc": 5, "bc": 12, "c": 20, "cab": 4, "b": 7})
+
+    def cost(words):
+        return sum(s.cost.get(w, s.unknown + 2.5 * len(w)) for w in words)
+
+    r = random.Random(1)
+    for _ in range(60):
+        name = "".join(r.choice("abcx") for _ in range(r.randint(1, 9)))
+        every = [[name[i:j] for i, j in zip([0, *cuts], [*cuts, len(name)])] for k in range(len(name)) for cuts in itertools.combinations(range(1, len(name)), k)]
+        assert cost(s.split(name)) == pytest.approx(min(map(cost, every))) and "".join(s.split(name)) == name
+
+
+def test_url_filter_edge_cases(spark):
+    rows = [(1, "http://example.org/" + "a" * 20_000, "x"), (2, "http://casino-bets.org/x", None), (2, "http://casino-bets.org/x", None), (None, "http://h.org", "y")]
+    docs = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, verdict string")
+    got = url_filter.judge(docs).collect()
+    assert len(got) == 4 and len({(r.host, r.verdict) for r in got if r.page_id == 2}) == 1
+
+
+def test_classifier_held_out(spark, odd, none):
+    r = random.Random(4)
+    good, bad = [f"g{i}" for i in range(300)], [f"b{i}" for i in range(300)]
+    rows = []
+    for i in range(600):
+        own, other = (good, bad) if i % 3 else (bad, good)
+        rows.append((i, " ".join(r.choice(own if r.random() < 0.7 else other) for _ in range(60)), int(bool(i % 3))))
+    docs, labels = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), spark.createDataFrame([(x[0], x[2]) for x in rows] + [(0, None), (1, 1), (None, 1)], "doc_id long, quality int")
+    got = [x for x in quality_classifier.classify(docs, labels.select("doc_id", "quality")).collect() if x.held_out]
+    truth = {x[0]: x[2] for x in rows}
+    held = [(x.score, truth[x.doc_id], x.predicted) for x in got]
+    assert len(held) == len({x.doc_id for x in got}) > 80  # labels that repeat add no rows
+    up, down = [s for s, y, _ in held if y], [s for s, y, _ in held if not y]
+    assert sum(a > b for a in up for b in down) / (len(up) * len(down)) > 0.97
+    assert sum(p for _, y, p in held if y) / len(up) > 0.9 and sum(1 - p for _, y, p in held if not y) / len(down) > 0.7
     got = quality_classifier.classify(odd, labels.limit(0)).collect()
     assert len(got) == 9 and {r.score for r in got} == {0.5}
     assert quality_classifier.classify(none, labels).count() == 0
