@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kestrelite.operators import graph as G
+from kestrelite.plans.language import Engine
 
 from . import query, table
 
@@ -57,6 +58,26 @@ def j4(s, d):
     return G.connected_to(e, n.where("id = 1"), "REGION", 1, 3)
 
 
+def nation_engine(s: SparkSession, d: str) -> Engine:
+    e = Engine(s)
+    n, e.edges = nations(s, d)
+    e.register("Nation", n)
+    return e
+
+
+@query("j4_language", f"with recursive {NN}, {NEDGE}, e as (select src, dst from ne where relation_type = 'REGION'), r(source, id, depth) as (select id, id, 0 from nn union select source, dst, depth + 1 from r join e on src = r.id where depth < 3) select distinct id, 2.5::double as score from (select source, id, min(depth) as m from r group by all) where m between 2 and 3 and id in (select id from nn where n_regionkey = 2)")
+def j4_language(s, d):
+    return nation_engine(s, d).run('MATCH (n:Nation) WHERE CONNECTEDTO(n, "NEXT", "REGION", n_regionkey, 2) WITHIN 2 TO 3 HOPS RETURN n.id, score')
+
+
+for _arrow, _far in (("-[:NEXT*1..3]->", "select src, dst from ne where relation_type = 'NEXT'"), ("<-[:NEXT*1..3]-", "select dst as src, src as dst from ne where relation_type = 'NEXT'"), ("-[:NEXT*1..3]-", "select src, dst from ne where relation_type = 'NEXT' union select dst, src from ne where relation_type = 'NEXT'")):
+    _name = {"->": "out", "<-": "in"}.get(_arrow[-2:] if _arrow[0] == "-" else _arrow[:2], "both")
+
+    @query(f"j19_language_{_name}", f"with recursive {NN}, {NEDGE}, e as ({_far}), r(source, id, depth) as (select id, id, 0 from nn where n_regionkey = 1 union select source, dst, depth + 1 from r join e on src = r.id where depth < 3) select distinct source as a_id, r.id as b_id from r where r.id <> source")
+    def j19_language(s, d, arrow=_arrow):
+        return nation_engine(s, d).run(f"MATCH (a:Nation {{n_regionkey: 1}}){arrow}(b:Nation) RETURN a.id, b.id LIMIT 100000")
+
+
 @query("j7_bfs_levels", f"with recursive {UEDGE}, {reach('ue', 'select 1::bigint, 0', 3)} select id, min(depth) as depth from r group by id having min(depth) >= 1")
 def j7(s, d):
     _, e = users(s, d)
@@ -191,7 +212,7 @@ def g11(s, d):
     return G.components(n, e.where("relation_type = 'REGION'")).agg(F.countDistinct("component").alias("betti0"))
 
 
-@query("a12_g12_totals", f"with {UN}, {UEDGE} select (select count(*) from un) as nodes, (select count(*) from ue) as edges, 1 as components, round((select count(*) from ue) / (select count(*) from un), 6) as average_degree, round((select count(*) from ue) / ((select count(*) from un) * ((select count(*) from un) - 1) / 2.0), 6) as density")
+@query("a12_g12_totals", f"with recursive {UN}, {UEDGE}, ub as (select src, dst from ue union select dst, src from ue), ul(id, c) as (select id, id from un where id = (select min(id) from un) union select dst, c from ul join ub on src = ul.id), ur as (select id, c from ul union all select id, id as c from un where id not in (select id from ul)) select (select count(*) from un) as nodes, (select count(*) from ue) as edges, (select count(distinct c)::integer from (select id, min(c) as c from ur group by id)) as components, round((select count(*) from ue) / (select count(*) from un), 6) as average_degree, round((select count(*) from ue) / ((select count(*) from un) * ((select count(*) from un) - 1) / 2.0), 6) as density")
 def a12(s, d):
     n, e = users(s, d)
     return G.totals(n, e).select("nodes", "edges", F.col("components").cast("int").alias("components"), F.round("average_degree", 6).alias("average_degree"), F.round("density", 6).alias("density"))

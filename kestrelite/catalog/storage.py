@@ -80,7 +80,7 @@ def s10(s, d):
 def s11(s, d):
     path = folder(s)
     files.export(table(s, d, "nation"), path, "json")
-    return s.read.schema("n_nationkey long, n_name string, n_regionkey long").json(path)
+    return files.ingest(s, path, "application/json").select("n_nationkey", "n_name", "n_regionkey")
 
 
 @query("s12_chunks")

@@ -199,11 +199,11 @@ def tpch_q1(s, d):
     return r.agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count(F.lit(1)).alias("n"))
 
 
-@query("p10_p11_similar_to", f"select vec_id as id, round({COS}, 6) as score from embeddings where {COS} >= 0.05 order by {COS}, vec_id limit 500")
+@query("p10_p11_similar_to", f"select vec_id as id, round({COS}, 6) as score from embeddings where {COS} >= 0.05 order by {COS} desc, vec_id limit 20")
 def p10(s, d):
     e = Engine(s)
     e.register("Doc", table(s, d, "embeddings"), "vec_id", "embedding")
-    r = e.run("MATCH (n:Doc) WHERE cosine_similarity(n.embedding, $q) > 0.05 RETURN n.id, score LIMIT 500", Q)
+    r = e.run("MATCH (n:Doc) WHERE cosine_similarity(n.embedding, $q) > 0.05 RETURN n.id, score LIMIT 20", Q)
     return r.select("id", F.round("score", 6).alias("score"))
 
 
@@ -251,3 +251,49 @@ def t9(s, d):
 def r18(s, d):
     steps = [lambda x: x.where(R.etl_filter("value", "gt", 1)), lambda x: x.withColumn("value", F.col("value") * 2), lambda x: x.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))]
     return R.pipeline(table(s, d, "events"), steps)
+
+
+@query("a7_having_language", "select c_nationkey, count(*)::bigint as n, round(avg(c_acctbal), 4) as mean from customer where c_acctbal > 0 group by 1 having count(*) > 3 order by n desc, c_nationkey limit 5")
+def a7_language(s, d):
+    e = Engine(s)
+    e.register("Customer", table(s, d, "customer"), "c_custkey")
+    r = e.run("MATCH (n:Customer) WHERE n.c_acctbal > 0 RETURN n.c_nationkey, COUNT(*) AS n, AVG(n.c_acctbal) AS mean GROUP BY n.c_nationkey HAVING COUNT(*) > 3")
+    return r.select("c_nationkey", "n", F.round("mean", 4).alias("mean")).orderBy(F.desc("n"), "c_nationkey").limit(5)
+
+
+ORDERED = "MATCH (c:Customer)-[:BOUGHT]->(s:Supplier {s_nationkey: 3}) WHERE c.c_acctbal > 5000"
+
+
+def order_engine(s, d):
+    """Customers and suppliers with an edge for each supplier that a customer has bought from."""
+    e = Engine(s)
+    e.register("Customer", table(s, d, "customer"), "c_custkey")
+    e.register("Supplier", table(s, d, "supplier"), "s_suppkey")
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("src"))
+    e.edges = o.join(table(s, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("dst")), "l_orderkey").select("src", "dst", F.lit("BOUGHT").alias("relation_type"), F.lit(1.0).alias("weight")).distinct()
+    return e
+
+
+@query("j3_language_pattern", "select distinct o_custkey as c_id, l_suppkey as s_id, s_name as s_s_name from orders join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey join customer on c_custkey = o_custkey where s_nationkey = 3 and c_acctbal > 5000")
+def j3_language(s, d):
+    return order_engine(s, d).run(f"{ORDERED} RETURN c.id, s.id, s.s_name LIMIT 100000000")
+
+
+@query("j3_language_grouped", "select s_suppkey as s_id, count(distinct o_custkey)::bigint as buyers from orders join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey join customer on c_custkey = o_custkey where s_nationkey = 3 and c_acctbal > 5000 group by 1 having count(distinct o_custkey) >= 2")
+def j3_language_grouped(s, d):
+    return order_engine(s, d).run(f"{ORDERED} RETURN s.id, COUNT(*) AS buyers GROUP BY s.id HAVING buyers >= 2")
+
+
+@query("s6_repeated_new_rows", "select r_regionkey, r_name from region union all select 77, 'NEW'")
+def s6_repeated(s, d):
+    return R.insert_if_absent(table(s, d, "region").select("r_regionkey", "r_name"), s.createDataFrame([(1, "OLD"), (77, "NEW"), (77, "NEW")], "r_regionkey int, r_name string"), "r_regionkey")
+
+
+@query("s7_overwrite", "select r_regionkey, case r_regionkey when 1 then 'CHANGED' else r_name end as r_name from region")
+def s7_overwrite(s, d):
+    return R.overwrite(table(s, d, "region").select("r_regionkey", "r_name"), s.createDataFrame([(1, "CHANGED"), (88, "ABSENT")], "r_regionkey int, r_name string"), "r_regionkey")
+
+
+@query("t1_order_by_text", "select c_custkey, c_name from customer order by c_name desc, c_custkey limit 10")
+def t1_text(s, d):
+    return R.order_by(table(s, d, "customer"), "c_name", True, "c_custkey").select("c_custkey", "c_name")

@@ -6,6 +6,7 @@ and a lost executor costs no earlier level. Frontiers are anti-joined with what
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
@@ -63,6 +64,12 @@ def bfs(edges: DataFrame, starts: DataFrame, max_hops: int, min_hops: int = 0, r
     return seen.where(F.col("depth") >= min_hops)
 
 
+def within_hops(edges: DataFrame, starts: DataFrame, min_hops: int, max_hops: int, relation: str | None = None) -> DataFrame:
+    """(id): nodes whose hop distance from some other start lies between the two; each start is told apart."""
+    d = all_distances(typed(edges, relation), starts, max_hops).where("id <> source")
+    return d.where(F.col("dist").between(max(min_hops, 1), max_hops)).select("id").distinct()
+
+
 def connected_to(edges: DataFrame, starts: DataFrame, relation: str, m: int, n: int) -> DataFrame:
     """(id, score): nodes between m and n hops over edges of the type; score (m + n) / 2."""
     return bfs(edges, starts, n, m, relation).select("id", F.lit((m + n) / 2).alias("score"))
@@ -110,10 +117,17 @@ def simple_paths(edges: DataFrame, source: int, target: int, max_nodes: int) ->
     return done
 
 
-def all_shortest_paths(edges: DataFrame, source: int, target: int, max_nodes: int = 8) -> DataFrame:
-    found = simple_paths(edges, source, target, max_nodes).withColumn("n", F.size("path"))
-    least = found.agg(F.min("n").alias("least"))
-    return found.join(F.broadcast(least), F.col("n") == F.col("least")).select("path")
+def all_shortest_paths(edges: DataFrame, source: int, target: int) -> DataFrame:
+    """Every path (column path) of least hops: distances from the source, then back from the target along them."""
+    e = edges.select("src", "dst").distinct()
+    starts = edges.sparkSession.createDataFrame([(source,)], "id long")
+    far = cut(all_distances(edges, starts).select("id", "dist"))
+    steps = far.where(F.col("id") == target).select("dist").first()
+    paths = edges.sparkSession.createDataFrame([([target],)] if steps else [], "path array<long>")
+    for d in range(steps[0] if steps else 0, 0, -1):
+        before = e.join(far.where(F.col("dist") == d - 1).select(F.col("id").alias("src")), "src")
+        paths = cut(paths.join(before, F.element_at("path", 1) == F.col("dst")).select(F.concat(F.array(F.col("src").cast("long")), "path").alias("path")))
+    return paths
 
 
 def path_length(paths: DataFrame, edges: DataFrame, key: str = "path_id") -> DataFrame:
@@ -138,11 +152,11 @@ def degree_centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(d, "id", "left").crossJoin(F.broadcast(n)).select("id", F.when(F.col("n") <= 1, 0.0).otherwise(F.coalesce("d", F.lit(0)) / (F.col("n") - 1)).alias("centrality"))
 
 
-def all_distances(edges: DataFrame, sources: DataFrame, max_hops: int = 64) -> DataFrame:
-    """(source, id, dist, sigma): hop distances and numbers of shortest paths from each source, level by level."""
+def all_distances(edges: DataFrame, sources: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(source, id, dist, sigma): hop distances and numbers of shortest paths from each source, level by level to the end."""
     e = edges.select("src", "dst").distinct()
     seen = level = cut(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("dist"), F.lit(1).cast("double").alias("sigma")))
-    for d in range(1, max_hops + 1):
+    for d in itertools.count(1) if max_hops is None else range(1, max_hops + 1):
         step = level.join(e, level["id"] == e["src"]).groupBy("source", F.col("dst").alias("id")).agg(F.sum("sigma").alias("sigma"))
         level = cut(step.join(seen, ["source", "id"], "left_anti").select("source", "id", F.lit(d).alias("dist"), "sigma"))
         if level.limit(1).count() == 0:

@@ -104,9 +104,10 @@ def window(df: DataFrame, function: str, field: str | None, partition: list[str]
 
 
 def order_by(df: DataFrame, field: str, descending: bool, key: str, limit: int | None = 10) -> DataFrame:
-    """One field, what is no number counts as 0, ties by key."""
-    n = F.coalesce(F.expr(f"try_cast(`{field}` as double)"), F.lit(0.0))
-    out = df.orderBy(n.desc() if descending else n.asc(), key)
+    """One field by its own type, missing values last, ties by key; text that is all numbers sorts by number first."""
+    c = F.col(f"`{field}`")
+    order = [F.expr(f"try_cast(`{field}` as double)"), c] if dict(df.dtypes)[field] == "string" else [c]
+    out = df.orderBy(*[x.desc_nulls_last() if descending else x.asc_nulls_last() for x in order], key)
     return out if limit is None else out.limit(limit)
 
 
@@ -115,9 +116,16 @@ def page(df: DataFrame, key: str, limit: int = 10, offset: int = 0) -> DataFrame
 
 
 def insert_if_absent(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """New rows whose id the table lacks; of rows that repeat an id, one is inserted."""
+    new = new.dropDuplicates([key])
     return table.unionByName(new.join(table.select(key), key, "left_anti"))
 
 
+def overwrite(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Rows of ``new`` take the place of those with their id; ids that the table lacks are left out."""
+    return upsert(table, new.join(table.select(key), key, "left_semi").select(*table.columns), key)
+
+
 def upsert(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return table.join(new.select(key), key, "left_anti").unionByName(new)
 
@@ -130,8 +138,10 @@ def recursive(start: DataFrame, step: Callable[[DataFrame], DataFrame], key: str
     for _ in range(max_depth):
         fresh = cut(step(fresh).dropDuplicates([key]).join(seen, key, "left_anti"))
         if fresh.limit(1).count() == 0:
-            break
+            return seen
         seen = seen.unionByName(fresh)
+    if step(fresh).join(seen, key, "left_anti").limit(1).count():
+        raise ValueError(f"the recursion is deeper than {max_depth}")
     return seen
 
 

@@ -2,7 +2,8 @@
 
     MATCH (n:Label {k: v}) WHERE n.field > 1 AND TOROIDALDISTANCE(n.vector, 0.6) RETURN n.id, score ORDER BY score DESC LIMIT 5
     MATCH (n:Label) WHERE CONNECTEDTO(n, "REL") WITHIN 1 TO 2 HOPS RETURN n.id LIMIT 10
-    MATCH (n:Label) RETURN COUNT(*) AS n, AVG(n.price) AS mean
+    MATCH (n:Label) RETURN n.kind, COUNT(*) AS n, AVG(n.price) AS mean GROUP BY n.kind HAVING n > 3
+    MATCH (a:A)-[:R]->(b:B) WHERE a.size > 2 RETURN a.id, b.name      also <-[:R]-, -[:R]- and -[:R*1..3]->; columns a_id, b_name
 
 Text is tokenized once, parsed into one small statement and turned into a DataFrame; everything after that is Catalyst's.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from kestrelite.functions import vector as V
 from kestrelite.operators import graph, relational, search
 
-_TOKEN = re.compile(r'\s*(?:("(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\')|(-?\d+(?:\.\d+)?)|([A-Za-z_][\w.]*)|(<>|!=|<=|>=|==|->|<-|[-=<>(){}\[\]:,*$]))')
+_TOKEN = re.compile(r'\s*(?:("(?:[^"\\]|\\.)*"|\'(?:[^\'\\]|\\.)*\')|(-?\d+(?:\.\d+)?)|([A-Za-z_][\w.]*)|(<>|!=|<=|>=|==|->|<-|\.\.|[-=<>(){}\[\]:,*$]))')
 AGGREGATES = {"COUNT", "SUM", "AVG", "MIN", "MAX"}
 
 
@@ -48,6 +49,9 @@ class Statement:
     returns: list[tuple[str, str]] = field(default_factory=list)
     aggregates: dict[str, tuple[str, str]] = field(default_factory=dict)
     group: list[str] = field(default_factory=list)
+    having: list[tuple] = field(default_factory=list)
+    edge: tuple[str | None, str, int, int] | None = None
+    other: tuple[str, str | None, dict] | None = None
     order: tuple[str, bool] | None = None
     limit: int | None = None
     explain: bool = False
@@ -65,7 +69,7 @@ class Parser:
                 raise QueryError(f"unexpected text at {text[at:at + 20]!r}")
             self.tokens.append(m.group(0).strip())
             at = m.end()
-        self.at = 0
+        self.at, self.pair = 0, False
 
     def peek(self) -> str:
         return self.tokens[self.at] if self.at < len(self.tokens) else ""
@@ -95,25 +99,53 @@ class Parser:
             raise QueryError(f"expected a value, found {t!r}") from None
 
     def name(self) -> str:
-        """A field with its alias taken off."""
-        return self.next().rpartition(".")[2]
+        """A field with its alias taken off, or put before it where a pattern has two."""
+        return self.field(self.next())
 
-    def parse(self) -> Statement:
-        s = Statement()
-        s.explain = self.take("EXPLAIN")
-        self.take("DISTRIBUTED")
-        self.next("MATCH")
+    def field(self, t: str) -> str:
+        return t.replace(".", "_") if self.pair else t.rpartition(".")[2]
+
+    def node(self) -> tuple[str, str | None, dict]:
         self.next("(")
-        s.alias = self.next()
+        alias, label, properties = self.next(), None, {}
         if self.take(":"):
-            s.label = self.next()
+            label = self.next()
         if self.take("{"):
             while not self.take("}"):
-                key = self.name()
+                key = self.next().rpartition(".")[2]
                 self.next(":")
-                s.properties[key] = self.value()
+                properties[key] = self.value()
                 self.take(",")
         self.next(")")
+        return alias, label, properties
+
+    def relation(self) -> tuple[str | None, str, int, int]:
+        """An edge pattern: type, direction, least and most hops."""
+        back = self.take("<-")
+        back or self.next("-")
+        self.next("[")
+        kind = self.next() if self.take(":") else None
+        low = high = 1
+        if self.take("*"):
+            low = int(self.value())
+            high = int(self.value()) if self.take("..") else low
+        self.next("]")
+        forth = self.take("->")
+        forth or self.next("-")
+        if back and forth or not 1 <= low <= high:
+            raise QueryError("an edge has one direction and 1 to n hops")
+        return kind, "in" if back else "out" if forth else "both", low, high
+
+    def parse(self) -> Statement:
+        s = Statement()
+        s.explain = self.take("EXPLAIN")
+        self.take("DISTRIBUTED")
+        self.next("MATCH")
+        s.alias, s.label, s.properties = self.node()
+        if self.peek() in ("-", "<-"):
+            s.edge, s.other, self.pair = self.relation(), self.node(), True
+            if s.other[0] == s.alias:
+                raise QueryError("the two nodes of a pattern need different names")
         if self.take("WHERE"):
             s.conditions.append(self.condition())
             while self.take("AND"):
@@ -128,6 +160,10 @@ class Parser:
             s.group.append(self.name())
             while self.take(","):
                 s.group.append(self.name())
+        if self.take("HAVING"):
+            s.having.append(self.asked(s))
+            while self.take("AND"):
+                s.having.append(self.asked(s))
         if self.take("ORDER"):
             self.next("BY")
             key = self.name()
@@ -153,9 +189,22 @@ class Parser:
             alias = self.next() if self.take("AS") else f"{t.lower()}_{'all' if arg == '*' else arg}"
             s.aggregates[alias] = (t.lower(), arg)
         else:
-            name = t.rpartition(".")[2]
+            name = self.field(t)
             s.returns.append((name, self.next() if self.take("AS") else name))
 
+    def asked(self, s: Statement) -> tuple:
+        """A condition on a returned column or on an aggregate as it was returned."""
+        t = self.next()
+        if t.upper() in AGGREGATES and self.take("("):
+            arg = "*" if self.take("*") else self.name()
+            self.next(")")
+            name = next((a for a, f in s.aggregates.items() if f == (t.lower(), arg)), None)
+        else:
+            name = t
+        if name not in s.aggregates and name not in s.group:
+            raise QueryError(f"HAVING needs a returned aggregate or a group, not {t!r}")
+        return name, self.next(), self.value()
+
     def condition(self) -> tuple:
         t = self.peek().upper()
         if t in ("TOROIDALDISTANCE", "SIMILAR_TO", "COSINE_SIMILARITY"):
@@ -175,15 +224,20 @@ class Parser:
             self.next()
             self.next("(")
             self.name()
-            words = []
+            kind, where = None, None
             while self.take(","):
-                words.append(self.value())
+                if self.peek()[:1] in ('"', "'"):
+                    kind = self.value()  # a second type takes the place of the first
+                else:
+                    where = (self.name(), self.next(",") and self.value())
+            if kind is None:
+                raise QueryError("CONNECTEDTO needs an edge type")
             self.next(")")
             self.next("WITHIN")
             low = int(self.value())
-            high = int(self.value()) if self.take("TO") else low
+            low, high = (low, int(self.value())) if self.take("TO") else (1, low)
             self.next("HOPS")
-            return ("hops", words[-1], min(low, high) if low != high else 1, high)
+            return ("hops", kind, min(low, high), max(low, high), where)
         name = self.name()
         op = self.next()
         if op.upper() not in ("=", "==", "<>", "!=", "<", "<=", ">", ">=", "LIKE", "ILIKE"):
@@ -201,7 +255,37 @@ class Engine:
     def register(self, label: str, df: DataFrame, key: str = "id", vec: str | None = None) -> None:
         self.nodes[label], self.key[label], self.vec[label] = df, key, vec
 
+    def pairs(self, s: Statement) -> DataFrame:
+        """The node pairs of an edge pattern, columns ``alias_field``; filters are left to the optimizer to move to the scans."""
+        ends = []
+        for alias, label, properties in ((s.alias, s.label, s.properties), s.other):
+            if label not in self.nodes:
+                raise QueryError(f"unknown label {label!r}; known: {sorted(self.nodes)}")
+            df = self.nodes[label]
+            df = df.where(relational.all_of([relational.compare(k, "=", v) for k, v in properties.items()])) if properties else df
+            own = [F.col(c).alias(f"{alias}_{c}") for c in df.columns if c != "id"]
+            ends.append(df.select(F.col(self.key[label]).alias(f"{alias}_id"), *own))
+        if self.edges is None:
+            raise QueryError("no edges are registered")
+        kind, direction, low, high = s.edge
+        a, b = (end.select(F.col(end.columns[0]).alias("id")) for end in ends)
+        if high == 1:
+            found = graph.pattern(a, self.edges, b, kind, direction)
+        else:
+            e = graph.typed(self.edges, kind)
+            e = graph.undirected(e) if direction == "both" else e.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if direction == "in" else e
+            far = graph.all_distances(e, a, high).where(F.col("dist").between(low, high) & (F.col("id") != F.col("source")))
+            found = far.select(F.col("source").alias("a_id"), F.col("id").alias("b_id")).join(b.select(F.col("id").alias("b_id")), "b_id", "left_semi")
+        found = found.select(F.col("a_id").alias("__a"), F.col("b_id").alias("__b"))
+        found = found.join(ends[0], found["__a"] == ends[0][f"{s.alias}_id"]).join(ends[1], found["__b"] == ends[1][f"{s.other[0]}_id"]).drop("__a", "__b")
+        plain = [relational.compare(c[1], c[2], c[3]) for c in s.conditions if c[0] == "property"]
+        if len(plain) < len(s.conditions):
+            raise QueryError("an edge pattern takes property conditions only")
+        return found.where(relational.all_of(plain)) if plain else found
+
     def build(self, s: Statement, vector: list[float] | None = None, dim: int | None = None) -> DataFrame:
+        if s.edge:
+            return self.finish(s, self.pairs(s), f"{s.alias}_id", False)
         if s.label not in self.nodes:
             raise QueryError(f"unknown label {s.label!r}; known: {sorted(self.nodes)}")
         df, key, vec = self.nodes[s.label], self.key[s.label], self.vec[s.label]
@@ -217,16 +301,23 @@ class Engine:
             elif c[0] == "hops":
                 if self.edges is None:
                     raise QueryError("no edges are registered")
-                hit = graph.bfs(self.edges, self.nodes[s.label].select(F.col(key).alias("id")), c[3], c[2], c[1]).select(F.col("id").alias(key))
+                hit = graph.within_hops(self.edges, self.nodes[s.label].select(F.col(key).alias("id")), c[2], c[3], c[1]).select(F.col("id").alias(key))
+                df = df if c[4] is None else df.where(relational.compare(c[4][0], "=", c[4][1]))
                 df = df.join(hit, key, "left_semi").withColumn("score", F.lit((c[2] + c[3]) / 2))
+        alike = any(c[0] == "cosine" for c in s.conditions)
+        return self.finish(s, df, key, alike, every=any(c[0] == "hops" for c in s.conditions))
+
+    def finish(self, s: Statement, df: DataFrame, key: str, alike: bool, every: bool = False) -> DataFrame:
+        """Aggregates, order, limit and columns. ``alike``: the best scores are the highest; ``every``: no limit unless asked."""
         if s.aggregates:
             keys = s.group or [n for n, _ in s.returns]
-            df = relational.aggregate(df, s.aggregates, keys)
+            asked = [relational.compare(*h) for h in s.having]
+            df = relational.aggregate(df, s.aggregates, keys, relational.all_of(asked) if asked else None)
         if s.order:
             df = df.orderBy(F.col(s.order[0]).desc() if s.order[1] else F.col(s.order[0]).asc(), *([] if s.aggregates else [key]))
         elif "score" in df.columns and not s.aggregates:
-            df = df.orderBy("score", key)
-        if s.limit is not None or not s.aggregates:
+            df = df.orderBy(F.col("score").desc() if alike else F.col("score").asc(), key)
+        if s.limit is not None or not (s.aggregates or every):
             df = df.limit(10 if s.limit is None else s.limit)
         if not s.aggregates:
             id_ = lambda n: key if n == "id" and "id" not in df.columns else n
@@ -266,10 +357,12 @@ class Engine:
 def steps(s: Statement) -> list[str]:
     """Numbered steps of a statement, in the order the builder applies them."""
     out = [f"scan {s.label}"]
+    out += [f"pattern {s.edge[1]} {s.edge[0]}, {s.edge[2]} to {s.edge[3]} hops, to {s.other[1]}"] if s.edge else []
     out += [f"filter {k} = {v!r}" for k, v in s.properties.items()]
     out += [f"filter {c[1]} {c[2]} {c[3]!r}" for c in s.conditions if c[0] == "property"]
     out += [f"{c[0]} search, threshold {c[1]}" for c in s.conditions if c[0] in ("torus", "cosine")]
     out += [f"traverse {c[1]}, {c[2]} to {c[3]} hops" for c in s.conditions if c[0] == "hops"]
     out += [f"aggregate {', '.join(s.aggregates)}"] if s.aggregates else []
     out += [f"order by {s.order[0]}{' descending' if s.order[1] else ''}"] if s.order else []
-    return [*out, f"limit {10 if s.limit is None else s.limit}"] if s.limit is not None or not s.aggregates else out
+    every = s.aggregates or any(c[0] == "hops" for c in s.conditions)
+    return [*out, f"limit {10 if s.limit is None else s.limit}"] if s.limit is not None or not every else out

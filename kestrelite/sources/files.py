@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ def ingest(spark: SparkSession, path: str, kind: str, **options) -> DataFrame:
     if "csv" in kind:
         return spark.read.csv(path, header=True, **options)
     if "json" in kind:
-        return spark.read.json(path, multiLine=True, **options)
+        return spark.read.json(path, multiLine=not json_lines(spark, path), **options)
     if kind.startswith("text") or "plain" in kind:
         return chunks(spark.read.text(path, wholetext=True).withColumnRenamed("value", "text"), 512)
     label = "Image: " if kind.startswith("image") else "Binary file: "
@@ -24,6 +26,17 @@ def ingest(spark: SparkSession, path: str, kind: str, **options) -> DataFrame:
     return files.select("path", F.concat(F.lit(label), name, F.lit(" ("), F.col("length").cast("string"), F.lit(" bytes)")).alias("text"))
 
 
+def json_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a file holds one object a line: its first line that is not blank is a whole object."""
+    first = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
+    if not first:
+        return True
+    try:
+        return isinstance(json.loads(first[0][0]), dict)
+    except ValueError:
+        return False
+
+
 def chunks(df: DataFrame, size: int = 512, text: str = "text") -> DataFrame:
     """Greedy packing of words into chunks of at most ``size`` bytes, words joined by one space."""
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")

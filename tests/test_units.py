@@ -102,7 +102,13 @@ def test_engine_traverses(spark):
     e.register("P", spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, name string"))
     for c in ('add_edge(1, 2, "KNOWS", 1.0)', 'add_edge(2, 3, "KNOWS", 1.0)'):
         e.command(c)
-    assert [r.id for r in e.run('MATCH (n:P) WHERE CONNECTEDTO(n, "KNOWS") WITHIN 1 TO 2 HOPS RETURN n.id').collect()] == []
+    assert [r.id for r in e.run('MATCH (n:P) WHERE CONNECTEDTO(n, "KNOWS") WITHIN 1 TO 2 HOPS RETURN n.id').collect()] == [2, 3]
+    assert [r.id for r in e.run('MATCH (n:P) WHERE CONNECTEDTO(n, "KNOWS", name, "c") WITHIN 2 TO 2 HOPS RETURN n.id').collect()] == [3]
+    pairs = lambda q: sorted(tuple(r) for r in e.run(q).collect())
+    assert pairs("MATCH (a:P)-[:KNOWS]->(b:P) RETURN a.id, b.name") == [(1, "b"), (2, "c")]
+    assert pairs("MATCH (a:P)<-[:KNOWS]-(b:P) RETURN a.id, b.id") == [(2, 1), (3, 2)]
+    assert pairs('MATCH (a:P {name: "a"})-[:KNOWS*1..2]->(b:P) WHERE b.id > 2 RETURN a.name, b.id AS end') == [("a", 3)]
+    assert pairs("MATCH (a:P)-[:KNOWS]-(b:P) RETURN a.id, COUNT(*) AS n GROUP BY a.id HAVING n > 1") == [(2, 2)]
     assert {r.id for r in e.command("graph_search(1, 2)").collect()} == {1, 2, 3}
     assert [r.id for r in e.command("get_neighbors(1)").collect()] == [2]
 
@@ -136,3 +142,26 @@ def test_changes(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
     b = spark.createDataFrame([(2, "z"), (3, "w")], "k int, v string")
     assert {(r.op, r.k) for r in streams.changes(a, b, "k").collect()} == {("delete", 1), ("update", 2), ("insert", 3)}
+
+
+def test_long_chains_are_walked_to_the_end(spark):
+    e = spark.createDataFrame([(i, i + 1, 1.0) for i in range(70)], "src long, dst long, weight double")
+    far = graph.all_distances(e, spark.createDataFrame([(0,)], "id long"))
+    assert far.count() == 71 and far.agg(F.max("dist")).first()[0] == 70
+    short = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 3), *[(i, i + 1) for i in range(3, 14)]], "src long, dst long")
+    got = sorted(r.path for r in graph.all_shortest_paths(short, 0, 14).collect())
+    assert got == [[0, k, *range(3, 15)] for k in (1, 2)] and graph.all_shortest_paths(short, 14, 0).count() == 0
+
+
+def test_json_forms_are_told_apart(spark, tmp_path):
+    lines, array, pretty = (tmp_path / n for n in ("lines.json", "array.json", "pretty.json"))
+    lines.write_text("\n".join(f'{{"a": {k}}}' for k in range(100)))
+    array.write_text("[" + ",\n".join(f'{{"a": {k}}}' for k in range(100)) + "]")
+    pretty.write_text('{\n  "a": 5\n}')
+    assert [files.ingest(spark, str(f), "application/json").count() for f in (lines, array, pretty)] == [100, 100, 1]
+
+
+def test_cosine_conditions_return_the_best(spark):
+    e = Engine(spark)
+    e.register("V", spark.createDataFrame([(1, [1.0, 9.0]), (2, [1.0, 0.0]), (3, [1.0, 1.0])], "id long, v array<double>"), vec="v")
+    assert e.run("MATCH (n:V) WHERE cosine_similarity(n.v, $q) > 0.05 RETURN n.id LIMIT 1", [1.0, 0.0]).first()[0] == 2
