@@ -85,6 +85,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``written`` that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/kestrelite/" in path:
+            remove(df.sparkSession, path)
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver's garbage go now, so that the shuffle files of finished jobs are deleted before a large step."""
     gc.collect()
