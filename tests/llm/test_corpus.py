@@ -346,3 +346,18 @@ def test_pipeline(spark, sf_dir):
     assert rows.columns[: len(source.columns)] == source.columns
     ids = [r.doc_id for r in rows.select("doc_id").collect()]
     assert len(ids) == len(set(ids)) and 0.1 * source.count() < len(ids) < source.count()
+
+
+def test_pipeline_stages_start_from_shrunk_heaps(spark, odd, monkeypatch, sf_dir):
+    import corpus_pipeline
+
+    # each stage first gives back what the heap has grown to before
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    sizes = []
+    for module, name in ((quality_rules, "keep"), (near_dedup, "keep"), (decontamination, "keep"), (mixing, "keep"), (sharding, "shard")):
+        monkeypatch.setattr(module, name, lambda docs, *_: sizes.append(heap.totalMemory() >> 20) or docs)
+    for _, stage in corpus_pipeline.STAGES:
+        spark.range(0, 1_000_000, 1, 2).groupBy("id").agg(F.collect_list("id").alias("a")).where("size(a) > 3").count()
+        grown = heap.totalMemory() >> 20
+        stage(spark, odd, sf_dir)
+        assert sizes[-1] < 0.8 * grown
