@@ -176,6 +176,16 @@ def test_line_dedup_of_rows_that_share_an_id(spark):
     assert sorted((x.doc_id, x.line) for x in got) == [(8, 0)]
 
 
+def test_line_dedup_is_the_same_for_any_sample_of_frequencies(spark, monkeypatch):
+    r = random.Random(9)
+    rows = [(d, "\n".join(" ".join(r.choices([f"t{i}" for i in range(12)], k=r.randint(4, 9))) for _ in range(4))) for d in range(40)]
+    docs, got = spark.createDataFrame(rows, "doc_id long, text string"), []
+    for sample in (1, 8, 1 << 40):  # all lines, some and none are counted
+        monkeypatch.setattr(line_dedup, "SAMPLE", sample)
+        got.append({(x.doc_id, x.line) for x in line_dedup.removed_lines(docs).collect()})
+    assert got[0] and got[0] == got[1] == got[2]
+
+
 def test_line_dedup_stays_in_the_engine(spark, sf_dir):
     for name in ("op4_line_dedup", "op7_quality"):
         plan = queries.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
