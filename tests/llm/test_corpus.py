@@ -186,6 +186,27 @@ def test_line_dedup_is_the_same_for_any_sample_of_frequencies(spark, monkeypatch
     assert got[0] and got[0] == got[1] == got[2]
 
 
+def test_line_dedup_forms_only_pairs_whose_later_line_is_open(spark):
+    words = [f"w{i}" for i in range(20)]
+    rows = [(d, " ".join(words[:18] + [f"x{d}"] * (d % 2))) for d in range(6)]  # equal lines of even ids, one word more in each of the others
+    docs = spark.createDataFrame(rows, "id long, text string")
+    first = line_dedup.first_lines(docs).where("nth = 1").select("id", "line", "n", "parity", "odd", "head")
+    of = lambda known: {(x.id, x.id2) for x in line_dedup.group_pairs(first.withColumn("open", known)).collect()}
+    assert of(F.lit(True)) == {(1, 0), (3, 0), (5, 0), (3, 1), (5, 1), (5, 3)}
+    assert of(F.col("id") == 3) == {(3, 0), (3, 1)} and of(F.col("id") == 0) == set()
+
+
+def test_line_dedup_fetches_the_same_lines_by_any_join(spark, monkeypatch):
+    r = random.Random(11)
+    rows = [(d % 35, "\n".join(" ".join(r.choices([f"t{i}" for i in range(12)], k=r.randint(4, 9))) for _ in range(4))) for d in range(40)]
+    docs, got = spark.createDataFrame(rows, "doc_id long, text string"), []
+    for lines, ids in ((300_000, 2_000_000), (0, 2_000_000), (0, 0)):
+        monkeypatch.setattr(line_dedup, "BROADCAST_LINES", lines)
+        monkeypatch.setattr(line_dedup, "BROADCAST_IDS", ids)
+        got.append({(x.doc_id, x.line) for x in line_dedup.removed_lines(docs).collect()})
+    assert got[0] and got[0] == got[1] == got[2]
+
+
 def test_line_dedup_stays_in_the_engine(spark, sf_dir):
     for name in ("op4_line_dedup", "op7_quality"):
         plan = queries.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
