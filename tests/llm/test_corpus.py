@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kestrelite.llm import components, decontamination, line_dedup, mixing, near_dedup, quality_rules, queries, sharding
+from kestrelite.llm.common import written
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -196,6 +197,16 @@ def test_line_dedup_forms_only_pairs_whose_later_line_is_open(spark):
     assert of(F.col("id") == 3) == {(3, 0), (3, 1)} and of(F.col("id") == 0) == set()
 
 
+def test_line_dedup_joins_groups_over_one_scan_and_one_shuffle(spark):
+    words = [f"w{i}" for i in range(20)]
+    docs = spark.createDataFrame([(d, " ".join(words[:18] + [f"x{d}"] * (d % 2))) for d in range(6)], "id long, text string")
+    first = written(line_dedup.first_lines(docs), "first-lines").where("nth = 1").select("id", "line", "n", "parity", "odd", "head")
+    pairs = line_dedup.group_pairs(first.withColumn("open", F.lit(True)))
+    assert {(x.id, x.id2) for x in pairs.collect()} == {(1, 0), (3, 0), (5, 0), (3, 1), (5, 1), (5, 3)}
+    final = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("FileScan") == 1 and final.count("ReusedExchange") == 1
+
+
 def test_line_dedup_fetches_the_same_lines_by_any_join(spark, monkeypatch):
     r = random.Random(11)
     rows = [(d % 35, "\n".join(" ".join(r.choices([f"t{i}" for i in range(12)], k=r.randint(4, 9))) for _ in range(4))) for d in range(40)]
