@@ -6,6 +6,7 @@ import functools
 
 from pyspark.sql import functions as F
 
+from kestrelite.functions import text as X
 from kestrelite.operators import relational as R
 from kestrelite.operators import search
 from kestrelite.plans.language import Engine
@@ -92,7 +93,7 @@ def a6(s, d):
 
 @query("a8_reduce", "select 'sum' as op, round(sum(c_acctbal), 2)::varchar as value from customer union all select 'concat', (select string_agg(r_name, ',' order by r_regionkey) from region)")
 def a8(s, d):
-    a = R.reduce_field(table(s, d, "customer"), "sum", "c_acctbal", "c_custkey").select(F.lit("sum").alias("op"), F.round("value", 2).cast("string").alias("value"))
+    a = R.reduce_field(table(s, d, "customer"), "sum", "c_acctbal", "c_custkey").select(F.lit("sum").alias("op"), X.number(F.round("value", 2)).alias("value"))
     return a.union(R.reduce_field(table(s, d, "region"), "concat", "r_name", "r_regionkey").select(F.lit("concat").alias("op"), "value"))
 
 

@@ -26,3 +26,11 @@ def json_array_contains(text: Column, value: str) -> Column:
 
 def display_label(name: Column, title: Column, key: Column) -> Column:
     return F.coalesce(name, title, F.concat(F.lit("Node_"), key.cast("string")))
+
+
+def number(value: Column) -> Column:
+    """The text of a double in its shortest digits, with an exponent only from 1e16 on, as SQL engines print it; for 0 and 0.001 or more."""
+    text = value.cast("string")
+    plain = F.regexp_replace(text.try_cast("decimal(38,16)").cast("string"), r"(\.\d+?)0+$", "$1")
+    other = F.regexp_replace(F.regexp_replace(F.lower(text), r"(\.0)?e(?=\d)", "e+"), "infinity", "inf")
+    return F.when((F.abs(value) >= 1e7) & (F.abs(value) < 1e16), plain).otherwise(other)
