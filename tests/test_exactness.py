@@ -25,3 +25,10 @@ def test_large_sums_print_without_exponent(spark, tmp_path):
     values = [0.0, 0.5, 12.25, -9999999.99, 1e7, 12345678.9, -4093366668.45, 1e15 + 0.25, 9999999999999998.0, 1e16, 1.5e17, 1e22]
     texts = [r[0] for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").orderBy("k").select(X.number(F.col("v"))).collect()]
     assert texts == [duckdb.connect().execute(f"select ({v!r})::double::varchar").fetchall()[0][0] for v in values]
+
+
+def test_small_negative_coordinates_round_as_in_sql(spark, tmp_path):
+    rows = [(1, [-1e-7, 1e-7, -4.9e-7, 1.0]), (2, [-6e-7, 6e-7, 0.0, -1.0]), (3, [0.6, -0.8, 0.0, 0.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got, want = both(spark, "k8_normalize", tmp_path, "embeddings")
+    assert got == want and "-0.0" in got[0]
