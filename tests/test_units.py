@@ -1,5 +1,6 @@
 """Small literal cases of the operators and the language."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +166,26 @@ def test_cosine_conditions_return_the_best(spark):
     e = Engine(spark)
     e.register("V", spark.createDataFrame([(1, [1.0, 9.0]), (2, [1.0, 0.0]), (3, [1.0, 1.0])], "id long, v array<double>"), vec="v")
     assert e.run("MATCH (n:V) WHERE cosine_similarity(n.v, $q) > 0.05 RETURN n.id LIMIT 1", [1.0, 0.0]).first()[0] == 2
+
+
+def test_triangles_of_a_dense_graph(spark):
+    # as brute force, with hubs and loops; neither wedges nor their closing are shuffled
+    rng = np.random.default_rng(5)
+    pairs = [*map(tuple, rng.integers(0, 120, (2500, 2)).tolist()), *[(500, k) for k in range(120)], *[(k, 501) for k in range(0, 120, 2)], (7, 7)]
+    e = spark.createDataFrame(pairs, "src long, dst long")
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {k: (sum(len(n & near[o]) for o in n) // 2, len(n)) for k, n in near.items()}
+    found = graph.triangles(e)
+    assert {r.id: (r.triangles, r.degree) for r in found.collect()} == want
+    assert "v#" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_triangles_of_named_nodes(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
+    assert sorted(tuple(r) for r in graph.triangles(e).collect()) == [("a", 1, 2), ("b", 1, 2), ("c", 1, 3), ("d", 0, 1)]
+    assert graph.triangles(e.where("src = 'z'")).count() == 0
+    assert graph.clustering(e).first()["global"] == 3 / 5
