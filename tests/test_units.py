@@ -1,5 +1,7 @@
 """Small literal cases of the operators and the language."""
 
+import functools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -189,3 +191,17 @@ def test_triangles_of_named_nodes(spark):
     assert sorted(tuple(r) for r in graph.triangles(e).collect()) == [("a", 1, 2), ("b", 1, 2), ("c", 1, 3), ("d", 0, 1)]
     assert graph.triangles(e.where("src = 'z'")).count() == 0
     assert graph.clustering(e).first()["global"] == 3 / 5
+
+
+def test_embeddings_come_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(search, "WORDS", 5)  # words are forgotten and numbered again
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    texts = ["", None, "Alpha beta beta", *[f"w{k} w{k + 1} w{k + 7}" for k in range(40)]]
+    got = search.hash_embedding(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), 8)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+    i = np.arange(8)
+    for r in got.collect():
+        h = lambda w: functools.reduce(lambda a, b: (31 * a + b) & 0xFFFFFFFF, w.encode(), 0) % 30000 + 1000
+        n = np.array([h(w) for w in ("passage: " + (texts[r.k] or "")).lower().split()])
+        v = np.sin(n / 1000) @ ((17 * n[:, None] + 31 * i) % 1000 / 1000) * np.cos(i / 100)
+        assert r.embedding == pytest.approx((v / np.linalg.norm(v)).tolist(), abs=1e-6)
