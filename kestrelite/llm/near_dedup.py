@@ -37,37 +37,73 @@ BROADCAST_IDS = 1_000_000
 #: Copies from which a class is joined apart from the others, as its rows would all meet in one task.
 HOT = 20_000
 
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: Bytes of a text that are hashed at once; more only where a single word is longer.
+PIECE = 1 << 15
+_WHITE = b" \t\n\r\x0b\x0c"
+#: Values of bytes in words: 1 to 256, A-Z as a-z; 0 for white space.
+_VALUE = np.frombuffer(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)), np.uint8).astype(np.uint64) + np.uint64(1)
+_VALUE[list(_WHITE)] = 0
+_BASE = 0x9E3779B97F4A7C15
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D], dtype=np.uint64)
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; forgotten when many, so that memory stays bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def shingle_set(text: str | None, words: int, hashes: WordHashes) -> np.ndarray:
+def powers(n: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n - 1 of the base of word hashes, and of its inverse, modulo 2**64."""
+    both = (np.full(n, p % (1 << 64), np.uint64) for p in (_BASE, pow(_BASE, -1, 1 << 64)))
+    return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(p[1:])]) for p in both)
+
+
+def word_hashes(raw: bytes, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """64-bit hashes of the words of a piece of text in their order: polynomials of the bytes from prefix sums, mixed."""
+    if len(raw) > len(tables[0]):
+        tables = powers(len(raw))
+    v = _VALUE[np.frombuffer(raw, np.uint8)]
+    inside = np.zeros(len(raw) + 2, bool)
+    np.not_equal(v, 0, out=inside[1:-1])
+    ends = np.flatnonzero(inside[1:] != inside[:-1])
+    lo, hi = ends[::2], ends[1::2]
+    v *= tables[0][: len(raw)]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(v)])
+    h = (total[hi] - total[lo]) * tables[1][lo]
+    h ^= h >> np.uint64(32)
+    h *= _M[4]
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """The text in pieces of ``PIECE`` bytes or less, cut at white space; longer only to the end of a word."""
+    i = 0
+    while i < len(raw):
+        j = i + PIECE
+        if j < len(raw):
+            j = max(raw.rfind(c, i, j) for c in _WHITE)
+            if j <= i:
+                j = min((k for c in _WHITE if (k := raw.find(c, i + 1)) > 0), default=len(raw))
+        yield raw[i:j]
+        i = j
+
+
+def shingle_set(text: str | None, words: int, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of ``words`` words; A-Z lower-cased, split at ASCII white space."""
-    split = (text or "").encode().translate(_LOWER).split()
-    if not split:
+    found = [word_hashes(p, tables) for p in _pieces((text or "").encode())]
+    h = found[0] if len(found) == 1 else np.concatenate(found) if found else np.empty(0, np.uint64)
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, split), np.uint64, len(split))
     if len(h) < words:
         return np.array([xxhash.xxh3_64_intdigest(h.tobytes(), seed=len(h))], np.uint64)
     n = len(h) - words + 1
     s = h[:n] * _M[0]
     for k in range(1, words):
-        s += h[k : k + n] * _M[k % len(_M)] * np.uint64(2 * (k // len(_M)) + 1)
+        s += h[k : k + n] * np.uint64(int(_M[k % len(_M)]) * (2 * (k // len(_M)) + 1) % (1 << 64))
     s ^= s >> np.uint64(29)
-    return np.unique(s)
+    s.sort()
+    first = np.ones(n, bool)
+    np.not_equal(s[1:], s[:-1], out=first[1:])
+    return s[first]
 
 
 def minwise(s: np.ndarray) -> np.ndarray:
@@ -80,11 +116,11 @@ def minwise(s: np.ndarray) -> np.ndarray:
 
 def _sketch(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        tables = powers()
         for batch in batches:
             size, key, tokens = [], [], []
             for text in batch.column(1).to_pylist():
-                s = shingle_set(text, words, hashes)
+                s = shingle_set(text, words, tables)
                 size.append(len(s))
                 key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 tokens.append(minwise(s).tobytes() if len(s) else None)
@@ -132,13 +168,13 @@ def _leaf_pairs(percent: int):
 
 def _confirm(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        tables = powers()
         for batch in batches:
             a, b, last, keep = batch.column(0), batch.column(1), (None, None), []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if x != last[0]:
-                    last = (x, shingle_set(x, words, hashes))
-                s, t = last[1], shingle_set(y, words, hashes)
+                    last = (x, shingle_set(x, words, tables))
+                s, t = last[1], shingle_set(y, words, tables)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(100 * both >= percent * (len(s) + len(t) - both) and both > 0)
             mask = pa.array(keep, pa.bool_())

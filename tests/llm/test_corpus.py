@@ -403,3 +403,20 @@ def test_pipeline_stages_start_from_shrunk_heaps(spark, odd, monkeypatch, sf_dir
         grown = heap.totalMemory() >> 20
         stage(spark, odd, sf_dir)
         assert sizes[-1] < 0.8 * grown
+
+
+def test_word_hashes_depend_on_the_word_alone():
+    # equal wherever the word stands, in either case and between any white space; also across the pieces of a long text
+    tables = near_dedup.powers()
+    words = ["a", "b", "ab", "ba", "aa", "aaa", "\x00", "\x00\x00", "Straße", "é", "x" * 70_000, "x" * 70_001]
+    one = {w: near_dedup.word_hashes(w.encode(), tables)[0] for w in words}
+    assert len(set(one.values())) == len(words)
+    rng = np.random.default_rng(1)
+    order = [words[k] for k in rng.integers(0, 10, 30_000)] + [words[10], "b", words[11], "Ab", "BA"]
+    text = "".join(w + rng.choice([" ", "\n", "\t ", " \x0b\x0c", "\r\n"]) for w in order)
+    pieces = list(near_dedup._pieces(text.encode()))
+    assert b"".join(pieces) == text.encode() and len(pieces) > 3
+    got = np.concatenate([near_dedup.word_hashes(p, tables) for p in pieces])
+    assert got.tolist() == [one[w.lower() if w.isascii() else w] for w in order]
+    assert near_dedup.shingle_set(" \n", 4, tables).tolist() == [] and len(near_dedup.shingle_set("a b c", 4, tables)) == 1
+    assert len(near_dedup.shingle_set(text, 4, tables)) == len({tuple(g) for g in zip(*[got[k:] for k in range(4)])})
